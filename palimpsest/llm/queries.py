@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import exact_dedup
+from palimpsest.llm import exact_dedup, simhash
 
-QUERIES = {"op1_exact_dedup": exact_dedup.op1_exact_dedup}
+QUERIES = {
+    "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op5_simhash": simhash.op5_simhash,
+}
 SQL = {"op1_exact_dedup": exact_dedup.OP1_SQL}
