@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import exact_dedup, simhash
+from palimpsest.llm import exact_dedup, simhash, suffix_dedup
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op5_simhash": simhash.op5_simhash,
+    "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
 }
 SQL = {"op1_exact_dedup": exact_dedup.OP1_SQL}
