@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import exact_dedup, packing, simhash, suffix_dedup
+from palimpsest.llm import exact_dedup, packing, quality_rules, simhash, suffix_dedup
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op2_quality_rules": quality_rules.op2_quality_rules,
     "op5_simhash": simhash.op5_simhash,
     "op7_packing": packing.op7_packing,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
 }
-SQL = {"op1_exact_dedup": exact_dedup.OP1_SQL}
+SQL = {"op1_exact_dedup": exact_dedup.OP1_SQL, "op2_quality_rules": quality_rules.OP2_SQL}
