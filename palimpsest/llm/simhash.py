@@ -169,10 +169,12 @@ def _search(max_bucket: int, radius: int):
 def _dealt(rows: DataFrame, masks: list[tuple[int, int]]) -> DataFrame:
     """Each fingerprint once for each mask that follows its own; sorted by bucket."""
     spark = rows.sparkSession
-    table = spark.createDataFrame([(_signed(a), _signed(b)) for a, b in masks], "mask long, next long")
-    dealt = rows.join(F.broadcast(table), "mask").select(
-        F.col("next").alias("mask"), F.col("fp").bitwiseAND(F.col("next")).alias("key"), "fp"
-    )
+    if len({a for a, _ in masks}) == 1:
+        dealt = rows.select(F.explode(F.array(*[F.lit(_signed(b)) for _, b in masks])).alias("next"), "fp")
+    else:  # at most as many rows as masks squared
+        table = spark.createDataFrame([(_signed(a), _signed(b)) for a, b in masks], "mask long, next long")
+        dealt = rows.join(F.broadcast(table), "mask")
+    dealt = dealt.select(F.col("next").alias("mask"), F.col("fp").bitwiseAND(F.col("next")).alias("key"), "fp")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return dealt.repartition(parts, "mask", "key").sortWithinPartitions("mask", "key", F.col("fp"))
 

@@ -238,3 +238,35 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def _strip_text(length: int, columns: list[str]):
+    """The rows with what is left of their texts; a character that a cut divides goes as a whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = []
+            for text, spans in zip(b["text"], b["_spans"]):
+                text, spans, end, kept = text.as_py(), spans.as_py(), 0, []
+                if spans:
+                    raw = text.encode()
+                    for x in sorted(spans, key=lambda x: x["lo"]):
+                        if x["lo"] > end:
+                            kept.append(raw[end : x["lo"]].decode(errors="ignore"))
+                        end = max(end, x["hi"] + length)
+                    text = "".join([*kept, raw[end:].decode(errors="ignore")])
+                texts.append(text)
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else b[c] for c in columns], columns)
+
+    return run
+
+
+def stage_suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the bytes of repeated strings; n_chars follows the text."""
+    spans = repeats(docs).groupBy("uid").agg(F.collect_set(F.struct("lo", "hi")).alias("_spans"))
+    rows = docs.withColumn("_uid", F.xxhash64("doc_id", "text")).join(spans.withColumnRenamed("uid", "_uid").hint("merge"), "_uid", "left")
+    rows = rows.select(*docs.columns, "_spans")
+    out = rows.mapInArrow(_strip_text(LENGTH, docs.columns), docs.schema)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
