@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import bpe, exact_dedup, packing, quality_rules, simhash, suffix_dedup
+from palimpsest.llm import bpe, exact_dedup, packing, quality_rules, simhash, suffix_dedup, token_counts
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_quality_rules": quality_rules.op2_quality_rules,
+    "op3_token_counts": token_counts.op3_token_counts,
     "op4_byte_bpe": bpe.op4_byte_bpe,
     "op5_simhash": simhash.op5_simhash,
     "op7_packing": packing.op7_packing,
