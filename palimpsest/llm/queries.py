@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import bpe, exact_dedup, packing, quality_rules, simhash, suffix_dedup, token_counts
+from palimpsest.llm import bpe, chat, exact_dedup, packing, quality_rules, simhash, suffix_dedup, token_counts, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -11,6 +11,8 @@ QUERIES = {
     "op4_byte_bpe": bpe.op4_byte_bpe,
     "op5_simhash": simhash.op5_simhash,
     "op7_packing": packing.op7_packing,
+    "op8_warc": warc.op8_warc,
+    "op9_chat": chat.op9_chat,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
 }
-SQL = {"op1_exact_dedup": exact_dedup.OP1_SQL, "op2_quality_rules": quality_rules.OP2_SQL}
+SQL = {"op1_exact_dedup": exact_dedup.OP1_SQL, "op2_quality_rules": quality_rules.OP2_SQL, "op9_chat": chat.OP9_SQL}
