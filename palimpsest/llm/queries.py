@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import bpe, chat, exact_dedup, packing, quality_rules, simhash, suffix_dedup, token_counts, warc
+from palimpsest.llm import bpe, chat, exact_dedup, packing, pitman_yor, quality_rules, simhash, suffix_dedup, token_counts, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_token_counts": token_counts.op3_token_counts,
     "op4_byte_bpe": bpe.op4_byte_bpe,
     "op5_simhash": simhash.op5_simhash,
+    "op6_pitman_yor": pitman_yor.op6_pitman_yor,
     "op7_packing": packing.op7_packing,
     "op8_warc": warc.op8_warc,
     "op9_chat": chat.op9_chat,
