@@ -1,0 +1,120 @@
+import importlib
+import sys
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+from palimpsest.functions import text
+from palimpsest.operators import entities, report, state
+from palimpsest.plans import queries
+from palimpsest.sources import scans
+from palimpsest.streaming.ingest import Reconciler
+
+SF = "/root/testdata/sf0.001"
+SLOW = {"shingles", "jaccard_exact", "components"}
+
+
+@pytest.fixture(scope="module")
+def duck():
+    con = duckdb.connect()
+    for t in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split():
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    return con
+
+
+def norm(rows):
+    return sorted(tuple(f"{x:.9g}" if isinstance(x, float) else str(x) for x in r) for r in rows)
+
+
+@pytest.mark.parametrize("name", sorted(set(queries.SQL) - SLOW))
+def test_against_sql(spark, duck, name):
+    got = queries.QUERIES[name](spark, SF)
+    columns = sorted(got.columns)
+    expect = duck.execute(f"SELECT {', '.join(columns)} FROM ({queries.SQL[name]})").fetchall()
+    assert norm(got.select(*columns).collect()) == norm(expect)
+
+
+def test_rest_works_without_llm(monkeypatch):
+    for name in [m for m in sys.modules if m.startswith("palimpsest.llm") or m in ("corpus_pipeline", "__spark_entry__")]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "palimpsest.llm", None)
+    monkeypatch.setitem(sys.modules, "corpus_pipeline", None)
+    entry = importlib.import_module("__spark_entry__")
+    assert "lsh_candidates" in entry.queries() and "pipeline" not in entry.queries()
+    assert not [n for n in entry.queries() if n.startswith("op")]
+    monkeypatch.delitem(sys.modules, "__spark_entry__")
+
+
+def test_entities():
+    line = "Call 555-123-4567 or mail a.b@example.org about 12-CV-34567; the Harbour Bank, then Dr. Erika Muster met Max Power."
+    found = entities.entities_of(line)
+    assert ("a.b@example.org", "email") in found and ("555-123-4567", "phone") in found and ("12-CV-34567", "case_number") in found
+    assert ("Harbour Bank", "organization") in found and ("Max Power", "people") in found
+    assert sum(c == "people" for _, c in found) == 2
+    assert entities.entities_of("ab") == []
+    stop = entities.Stopwords(anywhere=frozenset({"power"}))
+    assert ("Max Power", "people") not in entities.entities_of(line, stop)
+
+
+def test_other_entities_and_summary(spark):
+    seg = "array<struct<text:string,source_doc_id:string,stage:string,confidence:string,anchor_alpha_len:bigint>>"
+    rows = [
+        ("1", "see Ada Byron and words", 1, 1, ["d"], [("Ada Byron", "e", "merge", "high", 9), ("plain text here", "e", "alignment", "questionable", 0)]),
+        ("2", "Mr. Ada Byron", 1, 1, ["f"], [("ada byron or Ada Byron", "g", "merge", "high", 9), ("blacked out words", "g", "merge", "high", 9)]),
+        ("3", "none", 0, 1, ["h"], []),
+    ]
+    results = spark.createDataFrame(rows, f"group_id string, merged_text string, recovered_count bigint, total_redacted bigint, source_doc_ids array<string>, recovered_segments {seg}")
+    shown = {(r.category, r.text): (r["count"], r.groups) for r in report.summary(results, show=True).collect()}
+    assert shown == {("people", "Ada Byron"): (2, ["1", "2"]), ("other", "plain text here"): (1, ["1"])}
+    assert {r.text for r in report.summary(results).collect()} == {"A…9", "p…15"}
+    spans = {r.group_id: [(s.start, s.length, s.label) for s in r.spans] for r in report.annotated(results).collect()}
+    assert spans == {"1": [(4, 9, "recovered")], "2": []}
+    assert {r.group_id: r.methods for r in report.methods(results).collect()} == {"1": "alignment, merge", "2": "merge"}
+
+
+def test_pages_and_files(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(b"one\ftwo")
+    (tmp_path / "b.pdf").write_bytes(b"!")
+    extract = lambda raw: None if raw == b"!" else raw.decode().split("\f")
+    pages = scans.binary_files(spark, f"file://{tmp_path}", extract).collect()
+    assert [(r.page, r.text) for r in sorted(pages, key=lambda r: r.page)] == [(0, "one"), (1, "two")]
+    expected = spark.createDataFrame([("a.pdf", "x")], "name string, sha256 string")
+    assert {r.name: r.matches for r in scans.checked_files(spark, f"file://{tmp_path}", expected).collect()} == {"a.pdf": False, "b.pdf": None}
+    rows = spark.createDataFrame([("d", 2, "b " * 60), ("d", 1, "a " * 60), ("e", 1, "few")], "id string, page int, text string")
+    (row,) = scans.text_layer(rows).collect()
+    assert row.id == "d" and row.extracted_text.startswith("a ") and "--- PAGE BREAK ---" in row.extracted_text
+
+
+def test_text_functions(spark):
+    rows = spark.createDataFrame([(1, "A [REDACTED]  b\n[b(6)]"), (2, None), (3, "")], "k int, t string")
+    got = {r.k: (r.clean, r.n, r.m) for r in rows.select("k", text.clean_text(F.col("t")).alias("clean"), text.marker_count(F.col("t")).alias("n"), text.has_marker(F.col("t")).alias("m")).collect()}
+    assert got == {1: ("a b", 2, True), 2: (None, 0, None), 3: ("", 0, False)}
+
+
+def test_stale_results_are_reset(spark):
+    rows = [(1, 0, True, "a"), (2, 3, True, "b"), (3, 0, False, None)]
+    results = spark.createDataFrame(rows, "group_id int, recovered_count bigint, output_generated boolean, output_path string")
+    assert [r.group_id for r in state.stale_outputs(results).collect()] == [1]
+    after = {r.group_id: (r.output_generated, r.output_path) for r in state.without_stale(results).collect()}
+    assert after == {1: (False, None), 2: (True, "b"), 3: (False, None)}
+
+
+def test_stream_of_batches(spark, tmp_path):
+    words = [f"word{i}" for i in range(200)]
+    a, b = words[:], words[:]
+    a[50], b[120] = "[REDACTED]", "[b(6)]"
+    source, schema = tmp_path / "in", "id string, release_batch string, size_bytes bigint, extracted_text string"
+    own = Reconciler(spark, f"file://{tmp_path}/state")
+
+    def arrive(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"file://{source}")
+        own.start(f"file://{source}", f"file://{tmp_path}/check", once=True).awaitTermination()
+
+    arrive([("1", "x", 1, " ".join(a)), ("7", "x", 1, "unrelated text of few words")])
+    assert own.results().count() == 0
+    arrive([("2", "y", 1, " ".join(b))])
+    (row,) = own.results().collect()
+    assert row.merged_text == " ".join(words) and row.recovered_count == 1
+    own.ingest(spark.createDataFrame([("2", "y", 1, " ".join(b))], schema), 1)  # a batch that runs again
+    assert own.documents().count() == 3 and own.results().count() == 1
