@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -33,7 +34,7 @@ LENGTH, BLOCK, END = 2048, 64, 1
 #: Hashed features of a document, dimensions of its point, bits of each on the curve.
 FEATURES, DIMS, CURVE_BITS = 4096, 4, 15
 #: Words whose ids a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 #: Tokens that a task packs, about; each task can leave one sequence unfilled.
 TOKENS_A_TASK = 4_000_000
 VOCABULARY = "word_bpe_49k.json"
@@ -45,17 +46,41 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-#: Letters on which the tokenizer's normaliser does nothing but lower the case, one to one; then at most one mark.
-_PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,;:!?]?)")
+#: Words on which the normaliser does nothing but lower the case, and which fall into runs of letters, digits and runs of
+#: other signs (the apostrophe starts endings of its own, so it is not among them); and those parts.
+_LETTERS, _SIGNS = rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+", rb"[!-&(-/:-@\[-`{-~]+"
+_PLAIN = re.compile(b"(?:" + _LETTERS + b"|[0-9]|" + _SIGNS + b")+")
+_PARTS = re.compile(_LETTERS + b"|[0-9]|" + _SIGNS)
+
+
+class Remembered(dict):
+    """Computed values of keys.  Bounded: when the younger half is full, the older one goes."""
+
+    def __init__(self, compute, size: int):
+        self.compute, self.half, self.old = compute, max(1, size // 2), {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.compute(key)
+        if len(self) >= self.half:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
+def _number_bytes(numbers: list[int]) -> bytes:
+    return struct.pack(f"<{len(numbers)}I", *numbers)
 
 
 class WordIds:
     """The ids of white-space separated words, by the tokenizers library.
 
     No token crosses white space, so a text's ids are those of its words in
-    order.  Words seen before come from a table of bounded size.  Words of
-    letters alone (and a mark) go straight to the library's model, others
-    through its whole chain of normaliser, splitter and model.
+    order.  The ids of words and of their parts are remembered, in tables of
+    bounded size.  The parts of plain words go straight to the library's model,
+    other words through its whole chain of normaliser, splitter and model.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
@@ -64,39 +89,27 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.model, self.remembered = self.tokenizer.model, remembered
-        self.known: dict[bytes, bytes] = {}
+        self.model = self.tokenizer.model
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in set(shown)]
-        self.shown = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
-        self.shown_text = {chr(b): c for b, c in self.shown.items()}
-
-    def _model(self, part: bytes) -> list[int]:
-        text = part.decode("latin-1").translate(str.maketrans(self.shown_text))
-        return [t.id for t in self.model.tokenize(text)]
-
-    def _new(self, word: bytes) -> bytes:
-        if (m := _PLAIN.fullmatch(word)) is not None:
-            ids = self._model(m[1].decode().lower().encode())
-            if m[2]:
-                ids += self._model(m[2])
-        else:
-            ids = self.tokenizer.encode(word.decode(errors="replace"), add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
+        self.shown = {b: chr(256 + i) for i, b in enumerate(hidden)}
+        self.words, self.parts = Remembered(self._word, remembered), Remembered(self._part, remembered)
+
+    def _part(self, part: bytes) -> bytes:
+        text = part.decode("latin-1")
+        if not part.isascii():
+            text = text.translate(self.shown)
+        return _number_bytes([t.id for t in self.model.tokenize(text)])
+
+    def _word(self, word: bytes) -> bytes:
+        if _PLAIN.fullmatch(word):
+            return b"".join(map(self.parts.__getitem__, _PARTS.findall(word)))
+        ids = self.tokenizer.encode(word.decode(errors="replace"), add_special_tokens=False).ids
+        return _number_bytes(ids)
 
     def ids(self, text: bytes) -> bytes:
-        """The ids of a text as little-endian 32-bit numbers."""
-        words = text.split()
-        known = self.known
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            if len(known) > self.remembered:
-                known.clear()
-            for w in words:
-                if w not in known:
-                    known[w] = self._new(w)
-            return b"".join(map(known.__getitem__, words))
+        """The ids of a text as little-endian 32-bit numbers; the tokenizer lowers the case of A-Z too."""
+        return b"".join(map(self.words.__getitem__, text.lower().split()))
 
 
 _workers: dict[tuple, WordIds] = {}
