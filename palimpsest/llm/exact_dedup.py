@@ -6,8 +6,9 @@ found with a sort-merge anti-join (the index side is read in its buckets,
 without a shuffle) and appended.
 
 Defined cases: a null text counts as empty; texts are equal when their UTF-8
-bytes are (no normalisation); of equal texts the row with the largest doc_id
-stays; rows that share doc_id and text share their verdict; a null doc_id is
+bytes are (no normalisation); of equal texts in a batch the row with the largest
+doc_id stays; a text that the index has from an earlier batch is not kept again,
+and keep_id and group_size are those of that batch; rows that share doc_id and text share their verdict; a null doc_id is
 below every other one, and where a group has only null ids none of its rows is
 kept over another: keep_id is null and kept is true for all of them; an empty
 table gives an empty result; further columns are ignored.
