@@ -34,6 +34,14 @@ def permutations(n: int) -> list[tuple[int, int]]:
     return out
 
 
+def _modulo(x: np.ndarray) -> np.ndarray:
+    """x modulo the prime, without division: 2^31 leaves 1."""
+    for _ in range(2):
+        x = (x & PRIME) + (x >> 31)
+    x[x == PRIME] = 0
+    return x
+
+
 def signature(words: list[str], size: int, a: np.ndarray, b: np.ndarray) -> tuple[list[int], int] | None:
     """The signature and the number of shingles; None if there is no shingle."""
     n = len(words) - size + 1
@@ -43,7 +51,7 @@ def signature(words: list[str], size: int, a: np.ndarray, b: np.ndarray) -> tupl
     h = np.unique(np.fromiter((int(x, 16) % PRIME for x in first), np.int64, n))
     least = np.full(len(a), PRIME)
     for i in range(0, len(h), 4096):
-        np.minimum(least, ((h[i : i + 4096, None] * a + b) % PRIME).min(axis=0), out=least)
+        np.minimum(least, _modulo(h[i : i + 4096, None] * a + b).min(axis=0), out=least)
     return least.tolist(), n
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from palimpsest.config import DEFAULTS, Settings
 from palimpsest.functions.minhash import bands, fingerprints
 from palimpsest.functions.text import complementary, email_headers, looks_like_email, marker_count, strip_markers
+from palimpsest.staging import stage
 
 #: Bands and rows that suit a threshold of similarity.
 BANDS = {0.70: (14, 9), 0.75: (11, 11), 0.80: (9, 13), 0.85: (8, 16), 0.90: (5, 25), 0.95: (3, 42)}
@@ -89,7 +90,7 @@ def verified_pairs(pairs: DataFrame, docs: DataFrame, settings: Settings = DEFAU
 def header_values(emails: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Distinct (id, value) of header values, lower case, that are not too frequent; whatever the header."""
     found = emails.where(looks_like_email(F.col("extracted_text"))).select("id", F.explode(email_headers(F.col("extracted_text"))).alias("value"))
-    found = found.select("id", F.lower("value").alias("value")).where("value != ''")
+    found = stage(found.select("id", F.lower("value").alias("value")).where("value != ''"), "headers")
     often = found.groupBy("value").count().where(F.col("count") > settings.header_limit).select("value")
     return found.join(often, "value", "left_anti").select("id", "value").distinct()
 
@@ -104,7 +105,7 @@ def header_buckets(emails: DataFrame, settings: Settings = DEFAULTS) -> DataFram
     for _ in range(settings.header_matches - 1):
         more = combos.where(F.col("last") < F.size("values")).select("id", "values", "combo", F.explode(F.sequence(F.col("last") + 1, F.size("values"))).alias("last"))
         combos = more.select("id", "values", "last", F.concat("combo", F.array(F.element_at("values", F.col("last")))).alias("combo"))
-    combos = combos.select("combo", "id")
+    combos = stage(combos.select("combo", "id"), "combos")
     shared = combos.groupBy("combo").agg(F.count("*").alias("n")).where("n > 1").select("combo")
     return combos.join(shared, "combo", "left_semi")
 
@@ -129,7 +130,8 @@ def candidate_pairs(docs: DataFrame, settings: Settings = DEFAULTS, grouped: Dat
     prints = fingerprints(docs, settings)
     if grouped is not None:
         prints = prints.join(grouped.select("id"), "id", "left_anti")
-    return lsh_candidates(prints, settings, redacted(docs, settings).select("id"))
+    # Read twice, for both sides of the pairs, and computed once.
+    return lsh_candidates(stage(prints, "prints"), settings, redacted(docs, settings).select("id"))
 
 
 def base_order(members: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions.text import collapse
-from palimpsest.tables import read
+from palimpsest.tables import read, spread
 
 #: Every so many words one is masked, at one place in version A and at another in B.
 EVERY, PLACE_A, PLACE_B = 151, 3, 79
@@ -24,7 +24,7 @@ DOCUMENTS_SQL = "d0 AS (SELECT CAST(doc_id AS VARCHAR) AS id, source AS release_
 def versions(spark: SparkSession, sf_dir: str, every: int = EVERY, a: int = PLACE_A, b: int = PLACE_B) -> DataFrame:
     """Two versions (id, doc_id, extracted_text) of each document with more than ``b`` words, each with masks of its own."""
     words = F.split(collapse(F.col("text")), " ")
-    docs = read(spark, sf_dir, "documents").select("doc_id", words.alias("words")).where(F.size("words") > b)
+    docs = spread(read(spark, sf_dir, "documents")).select("doc_id", words.alias("words")).where(F.size("words") > b)
     mask = lambda at, by: F.array_join(F.transform("words", lambda w, i: F.when(i % every == at, by).otherwise(w)), " ")
     both = F.array(F.struct(F.lit(0).alias("k"), mask(a, "[REDACTED]").alias("text")), F.struct(F.lit(1).alias("k"), mask(b, "[b(6)]").alias("text")))
     rows = docs.select("doc_id", F.explode(both).alias("v"))
@@ -46,7 +46,7 @@ v AS (
 
 def emails(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E-mails (id, extracted_text) from orders and customers."""
-    o = read(spark, sf_dir, "orders").join(read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    o = spread(read(spark, sf_dir, "orders")).join(read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     text = F.concat(
         F.lit("From: "), "c_name", F.lit("\nTo: "), "o_orderpriority", F.lit("\nDate: "), F.col("o_orderdate").cast("date").cast("string"),
         F.lit("\nSubject: Order "), (F.col("o_orderkey") % 400).cast("string"), F.lit("\n\nbody of "), F.col("o_orderkey").cast("string"),

@@ -8,3 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder, as Spark reads it."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The table, dealt to all cores if it comes from fewer files than there are; large tables stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
