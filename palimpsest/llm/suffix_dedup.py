@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palimpsest.staging import stage
+from palimpsest.staging import drop, stage
 
 LENGTH = 400
 #: Positions among which the trigger of a window is chosen, and bytes of the rolling hash.
@@ -188,6 +188,25 @@ def _decide(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     return found.where("repeats").select("uid", "lo", "hi"), found.where("open").select("uid", "lo", "hi", "at")
 
 
+def _decide_ends(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """As ``_decide``, for the ends of repeats, of which very many can share a digest (the end of a passage in most texts).
+
+    Rows are counted before they are dealt, first by both digests and then by one; what the counts say is joined
+    to the rows from written tables, so that a digest with many rows is split among tasks.
+    """
+    rows = stage(rows, f"{name}-rows")
+    kinds = stage(rows.groupBy("shared", "full").agg(F.count("*").alias("copies"), F.min(F.struct("uid", "lo")).alias("first")), f"{name}-kinds")
+    mixed = stage(kinds.groupBy("shared").agg(F.count("*").alias("kinds"), F.sum("copies").alias("n")).where("n > 1"), f"{name}-mixed")
+    known = kinds.join(mixed, "shared").select("shared", "full", (F.col("copies") > 1).alias("repeats"), F.expr("kinds > 1").alias("mixed"), "first")
+    known = stage(known.where("repeats OR mixed"), f"{name}-known")
+    found = rows.join(known, ["shared", "full"]).select(
+        "uid", "lo", "hi", "at", "repeats", F.expr("mixed AND first.uid = uid AND first.lo = lo").alias("open")
+    )
+    found = stage(found.where("repeats OR open"), name)
+    drop(rows.sparkSession, rows, kinds, mixed, known)
+    return found.where("repeats").select("uid", "lo", "hi"), found.where("open").select("uid", "lo", "hi", "at")
+
+
 def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(uid, lo, hi): the windows starting at lo..hi of the text of that uid have an equal one elsewhere."""
     found, todo = _decide(_texts(docs).mapInArrow(_parse(length), ROWS), "phrases")
@@ -196,7 +215,7 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     for part in (PART, 1):
         grouped = todo.groupBy("uid").agg(F.collect_set(F.struct("lo", "hi", "at")).alias("todo"))
         rows = texts.join(grouped.hint("merge"), "uid").select("uid", "packed", "todo").mapInArrow(_cut(length, span, part), ROWS)
-        more, todo = _decide(rows, f"phrases-{part}")
+        more, todo = _decide_ends(rows, f"phrases-{part}")
         found, span = found.unionByName(more), part
     return found
 
