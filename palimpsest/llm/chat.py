@@ -79,8 +79,9 @@ def branches(nodes: DataFrame) -> DataFrame:
     found = best.select("tree", F.col("best.node").alias("node"))
     for jump in reversed(jumps):
         f, j = found.alias("f"), jump.where("up IS NOT NULL").alias("j")
-        found = found.unionByName(f.join(j, same("f", "j") & (F.col("f.node") == F.col("j.node"))).select("f.tree", F.col("j.up").alias("node")))
-    found = found.distinct()
+        above = f.join(j, same("f", "j") & (F.col("f.node") == F.col("j.node"))).select("f.tree", F.col("j.up").alias("node"))
+        # Written each time: what is found is read twice in the next round, so its plan would double with each.
+        found = stage(found.unionByName(above), "branch")
     f, e = found.alias("f"), ends.alias("e")
     return f.join(e, same("f", "e") & (F.col("f.node") == F.col("e.node"))).select("f.tree", "f.node", (F.col("e.steps") - 1).alias("depth"))
 
