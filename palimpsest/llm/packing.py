@@ -260,8 +260,9 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> Data
     rows = stage(tokenised(docs, path or vocabulary_path()), "tokenised")
     total = rows.agg(F.sum("doc_tokens")).first()[0] or 0
     parts = -(-total // TOKENS_A_TASK) or 1
-    # The checksums tell rows with equal keys and ids apart, so the order is the same in every run.
-    order = ["key", "doc_id", "doc_tokens", "crcs"]
+    # The checksums tell rows with equal keys and ids apart, so the order is the same in every run; their hash
+    # does so in few bytes, as the driver gets a sample of what is ordered by.
+    order = ["key", "doc_id", "doc_tokens", F.xxhash64("crcs")]
     laid = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     return laid.mapInArrow(_pack(length), ", ".join(f"{c} long" for c in PIECE))
 
