@@ -58,27 +58,29 @@ def branches(nodes: DataFrame) -> DataFrame:
     up = own.select(
         "n.tree", "n.node", F.when(F.col("k.known"), F.col("n.parent")).alias("up"), F.coalesce("n.score", F.lit(0.0)).cast("double").alias("total"), F.lit(1).cast("long").alias("steps")
     )
-    jumps = [stage(up, "jumps")]
-    open_nodes = jumps[0].where("up IS NOT NULL").count()
+    first = stage(up, "jumps")
+    # Nodes whose way to the root is known take no more part but as ends of other nodes' ways.
+    jumps, ends = [first.where("up IS NOT NULL")], first.where("up IS NULL")
+    open_nodes = jumps[0].count()
     while open_nodes and len(jumps) < MOST_ROUNDS:
-        a, b = jumps[-1].alias("a"), jumps[-1].alias("b")
-        doubled = a.join(b, same("a", "b") & (F.col("a.up") == F.col("b.node")), "left").select(
-            "a.tree", "a.node", F.col("b.up").alias("up"),
-            (F.col("a.total") + F.coalesce("b.total", F.lit(0.0))).alias("total"), (F.col("a.steps") + F.coalesce("b.steps", F.lit(0))).alias("steps"),
+        a, b = jumps[-1].alias("a"), jumps[-1].unionByName(ends).alias("b")
+        doubled = a.join(b, same("a", "b") & (F.col("a.up") == F.col("b.node"))).select(
+            "a.tree", "a.node", F.col("b.up").alias("up"), (F.col("a.total") + F.col("b.total")).alias("total"), (F.col("a.steps") + F.col("b.steps")).alias("steps"),
         )
-        jumps.append(stage(doubled, "jumps"))
-        left = jumps[-1].where("up IS NOT NULL").count()
+        doubled = stage(doubled, "jumps")
+        jumps.append(doubled.where("up IS NOT NULL"))
+        ends = ends.unionByName(doubled.where("up IS NULL"))
+        left = jumps[-1].count()
         if left == open_nodes and 1 << len(jumps) > open_nodes:
             break  # only cycles are left
         open_nodes = left
-    ends = jumps[-1].where("up IS NULL")
-    parents = jumps[0].where("up IS NOT NULL").select("tree", F.col("up").alias("node")).distinct()
+    parents = jumps[0].select("tree", F.col("up").alias("node")).distinct()
     leaves = ends.alias("e").join(parents.alias("p"), same("e", "p") & (F.col("e.node") == F.col("p.node")), "left_anti")
     # The best mean score first, then the smallest node.
     best = leaves.groupBy("tree").agg(F.min(F.struct((-F.col("total") / F.col("steps")).alias("rank"), "node")).alias("best"))
     found = best.select("tree", F.col("best.node").alias("node"))
     for jump in reversed(jumps):
-        f, j = found.alias("f"), jump.where("up IS NOT NULL").alias("j")
+        f, j = found.alias("f"), jump.alias("j")
         above = f.join(j, same("f", "j") & (F.col("f.node") == F.col("j.node"))).select("f.tree", F.col("j.up").alias("node"))
         # Written each time: what is found is read twice in the next round, so its plan would double with each.
         found = stage(found.unionByName(above), "branch")
