@@ -2,13 +2,12 @@
 
 Tokenising gives each document the mean of its hashed tokens' projections, a
 point of ``DIMS`` dimensions, whose place on a Hilbert curve is the sort key.
+The ids go along, two bytes each where the vocabulary allows and compressed.
 Rows are range-sorted by (key, doc_id) and packed in that order, each task for
-itself: a document follows its predecessor without a gap, and what does not fit
-into the sequence goes on in the next one.  Documents are cut at multiples of
-``BLOCK`` ids only (or at their end), so that a piece's checksum follows from
-checksums taken of blocks while tokenising, and the ids themselves never have to
-be shuffled.  A sequence therefore ends less than ``BLOCK`` ids short of its
-length, but for the last one of each task.
+itself: a document follows its predecessor without a gap, is cut wherever the
+sequence is full, and goes on in the next one.  So every sequence has its full
+length, but for the last one of each task.  ``pack`` gives the ids of each piece,
+``sequences`` those of each sequence; digests are taken of the ids themselves.
 
 Defined cases: a null text counts as empty (one piece: the end id alone);
 repeated rows are packed each for itself; a null doc_id sorts first; an empty
@@ -20,17 +19,18 @@ from __future__ import annotations
 import os
 import re
 import struct
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.staging import stage
 
-LENGTH, BLOCK, END = 2048, 64, 1
+LENGTH, END = 2048, 1
 #: Hashed features of a document, dimensions of its point, bits of each on the curve.
 FEATURES, DIMS, CURVE_BITS = 4096, 4, 15
 #: Words whose ids a worker remembers.
@@ -90,6 +90,8 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
+        #: Whether two bytes hold every id.
+        self.narrow = self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in set(shown)]
         self.shown = {b: chr(256 + i) for i, b in enumerate(hidden)}
@@ -160,115 +162,102 @@ def hilbert_key(points: np.ndarray, bits: int = CURVE_BITS) -> np.ndarray:
 def _tokenise(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, signs = _word_ids(path), None
+        compress, narrow = zstandard.ZstdCompressor(level=1).compress, words.narrow
         end = np.array([END], "<u4").tobytes()
         for b in batches:
             if signs is None:
                 signs = projection(words.tokenizer.get_vocab_size(with_added_tokens=True))
-            n_tokens, crcs, points = [], [], []
+            n_tokens, packed, hashes, points = [], [], [], []
             for text in b["text"]:
                 ids = words.ids(text.as_py() or b"") + end
-                view, step = memoryview(ids), 4 * BLOCK
-                crcs.append(np.array([zlib.crc32(view[i : i + step]) for i in range(0, len(ids), step)], "<u4").tobytes())
                 n_tokens.append(len(ids) // 4)
                 numbers = np.frombuffer(ids, "<u4")
+                packed.append(compress(numbers.astype("<u2").tobytes() if narrow else ids))
+                hashes.append(xxhash.xxh3_64_intdigest(ids) - (1 << 63))
                 points.append(np.mean([signs[numbers[i : i + 65536]].sum(axis=0) for i in range(0, len(numbers), 65536)], axis=0) * (-(-len(numbers) // 65536)) / len(numbers))
             if not points:
                 continue
             place = np.clip((np.array(points) + 1) / 2 * (1 << CURVE_BITS), 0, (1 << CURVE_BITS) - 1)
             yield pa.RecordBatch.from_arrays(
-                [b["doc_id"], pa.array(n_tokens, pa.int64()), pa.array(crcs, pa.binary()), pa.array(hilbert_key(place))],
-                ["doc_id", "doc_tokens", "crcs", "key"],
+                [b["doc_id"], pa.array(n_tokens, pa.int64()), pa.array(packed, pa.binary()), pa.array(hashes, pa.int64()), pa.array(hilbert_key(place))],
+                ["doc_id", "doc_tokens", "packed", "ids_hash", "key"],
             )
 
     return run
 
 
-class Crc:
-    """Checksum of two byte strings in a row from those of both."""
+#: Of a piece: its document, its place and length in it, all ids of the document, its sequence and place in that, its ids.
+PIECE = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
+_PLACES = [c for c in PIECE if c not in ("ids_crc32", "ids")]
+#: Bytes of ids handed on together.
+TOGETHER = 1 << 22
 
-    POLY = 0xEDB88320
 
-    def __init__(self):
-        self.steps: dict[int, list[list[int]]] = {}
-
-    def _zeros(self, n: int) -> list[list[int]]:
-        """Tables, one for each byte of a checksum, that carry it over n bytes of zero."""
-        if n not in self.steps:
-            columns = []
-            for bit in range(32):
-                c = 1 << bit
-                for _ in range(8 * n):
-                    c = c >> 1 ^ (self.POLY if c & 1 else 0)
-                columns.append(c)
-            tables = []
-            for byte in range(4):
-                table = [0] * 256
-                for v in range(1, 256):
-                    low = v & -v
-                    table[v] = table[v ^ low] ^ columns[8 * byte + low.bit_length() - 1]
-                tables.append(table)
-            self.steps[n] = tables
-        return self.steps[n]
-
-    def join(self, a: int, b: int, b_bytes: int) -> int:
-        t = self._zeros(b_bytes)
-        return t[0][a & 255] ^ t[1][a >> 8 & 255] ^ t[2][a >> 16 & 255] ^ t[3][a >> 24] ^ b
-
-
-def _pack(length: int):
+def _pack(length: int, narrow: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        crc, sequence, used = Crc(), TaskContext.get().partitionId() << 32, 0
+        unpack, sequence, used = zstandard.ZstdDecompressor().decompress, TaskContext.get().partitionId() << 32, 0
+        rows, ids, size = [], [], 0
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in zip(*rows)), pa.array(ids, pa.binary())], [*_PLACES, "ids"])
+            rows.clear()
+            ids.clear()
+            return out
+
         for b in batches:
-            rows = []
-            for doc_id, total, crcs in zip(b["doc_id"].to_pylist(), b["doc_tokens"].to_pylist(), b["crcs"]):
-                blocks = np.frombuffer(crcs.as_py(), "<u4").tolist()
+            for doc_id, total, packed in zip(b["doc_id"].to_pylist(), b["doc_tokens"].to_pylist(), b["packed"]):
+                own = unpack(packed.as_py())
+                if narrow:
+                    own = np.frombuffer(own, "<u2").astype("<u4").tobytes()
                 at = 0
                 while at < total:
-                    room = length - used
-                    n = total - at if total - at <= room else room // BLOCK * BLOCK
-                    if not n:
-                        sequence, used = sequence + 1, 0
-                        continue
-                    first, last = at // BLOCK, -(-(at + n) // BLOCK)
-                    c = blocks[first]
-                    for i in range(first + 1, last):
-                        c = crc.join(c, blocks[i], 4 * (min(total, (i + 1) * BLOCK) - i * BLOCK))
-                    rows.append((doc_id, at, n, c, total, sequence, used))
-                    at, used = at + n, used + n
+                    n = min(total - at, length - used)
+                    rows.append((doc_id, at, n, total, sequence, used))
+                    ids.append(own[4 * at : 4 * (at + n)])
+                    at, used, size = at + n, used + n, size + 4 * n
                     if used == length:
                         sequence, used = sequence + 1, 0
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], PIECE)
+                    if size >= TOGETHER:
+                        yield flush()
+                        size = 0
+        if rows:
+            yield flush()
 
     return run
 
 
-PIECE = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-
-
 def tokenised(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, doc_tokens, crcs, key): number of ids with the end id, checksums of blocks of ids, place on the curve."""
+    """(doc_id, doc_tokens, packed, ids_hash, key): number of ids with the end id, the ids compressed and their hash, place on the curve."""
     rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
-    return rows.mapInArrow(_tokenise(path), "doc_id long, doc_tokens long, crcs binary, key long")
+    return rows.mapInArrow(_tokenise(path), "doc_id long, doc_tokens long, packed binary, ids_hash long, key long")
 
 
 def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> DataFrame:
-    """One row for each piece, in the columns of ``PIECE``."""
+    """One row for each piece, in the columns of ``PIECE``; ids: little-endian 32-bit numbers."""
     # Written once: the range sort reads its input twice, for bounds and for rows.
-    rows = stage(tokenised(docs, path or vocabulary_path()), "tokenised")
+    path = path or vocabulary_path()
+    rows = stage(tokenised(docs, path), "tokenised")
     total = rows.agg(F.sum("doc_tokens")).first()[0] or 0
     parts = -(-total // TOKENS_A_TASK) or 1
-    # The checksums tell rows with equal keys and ids apart, so the order is the same in every run; their hash
-    # does so in few bytes, as the driver gets a sample of what is ordered by.
-    order = ["key", "doc_id", "doc_tokens", F.xxhash64("crcs")]
+    # The hash tells rows with equal keys and different ids apart, so the order is the same in every run; it does so
+    # in few bytes, as the driver gets a sample of what is ordered by.
+    order = ["key", "doc_id", "doc_tokens", "ids_hash"]
     laid = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    return laid.mapInArrow(_pack(length), ", ".join(f"{c} long" for c in PIECE))
+    pieces = laid.mapInArrow(_pack(length, _word_ids(path).narrow), ", ".join(f"{c} long" for c in _PLACES) + ", ids binary")
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).select(*PIECE)
+
+
+def sequences(pieces: DataFrame) -> DataFrame:
+    """(sequence_id, n_ids, ids) of each sequence; ids: those of its pieces in order, little-endian 32-bit numbers."""
+    own = F.array_sort(F.collect_list(F.struct("offset", "ids")))
+    rows = pieces.groupBy("sequence_id").agg(F.sum("length").alias("n_ids"), own.alias("own"))
+    return rows.select("sequence_id", "n_ids", F.expr("aggregate(own, X'', (a, p) -> concat(a, p.ids))").alias("ids"))
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("ids")
 
 
 def stage_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -71,3 +71,24 @@ def test_repeated_and_null_ids(spark, documents):
     rows = packing.pack(docs).collect()
     assert sorted((r.doc_id is None, r.doc_id or 0, r.length) for r in rows) == [(False, 1, 3), (False, 1, 3), (False, 2, 1), (True, 0, 2)]
     assert packing.pack(documents([])).count() == 0
+
+
+def test_sequences_hold_their_ids_and_are_full(spark, documents, tokenizer):
+    """All ids come back from the pieces and from the sequences, and only the last sequence of a task is not full."""
+    rng = random.Random(5)
+    docs = [(i, " ".join(rng.choice(["alpha", "b\u00e9ta,", "12.5", "x"]) for _ in range(rng.choice([0, 1, 30, 100, 900])))) for i in range(80)]
+    made = packing.pack(documents(docs), length=100)
+    pieces = made.collect()
+    ids = {k: [*tokenizer.encode(t, add_special_tokens=False).ids, 1] for k, t in docs}
+    for p in pieces:
+        assert np.frombuffer(p.ids, "<u4").tolist() == ids[p.doc_id][p.start : p.start + p.length]
+    by_seq = check(tokenizer, docs, pieces, length=100)
+    got = {r.sequence_id: r for r in packing.sequences(made).collect()}
+    assert set(got) == set(by_seq)
+    for k, own in by_seq.items():
+        assert np.frombuffer(got[k].ids, "<u4").tolist() == [x for p in own for x in ids[p.doc_id][p.start : p.start + p.length]]
+    last = {}
+    for k in by_seq:
+        last[k >> 32] = max(last.get(k >> 32, 0), k)
+    assert all(got[k].n_ids == 100 for k in got if k not in last.values())
+    assert len(got) > 100
