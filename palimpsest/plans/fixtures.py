@@ -21,10 +21,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 DOCUMENTS_SQL = "d0 AS (SELECT CAST(doc_id AS VARCHAR) AS id, source AS release_batch, n_chars AS size_bytes, text AS extracted_text FROM documents)"
 
 
-def versions(spark: SparkSession, sf_dir: str, every: int = EVERY, a: int = PLACE_A, b: int = PLACE_B) -> DataFrame:
-    """Two versions (id, doc_id, extracted_text) of each document with more than ``b`` words, each with masks of its own."""
+def versions(spark: SparkSession, sf_dir: str, every: int = EVERY, a: int = PLACE_A, b: int = PLACE_B, whole: bool = False) -> DataFrame:
+    """Two versions (id, doc_id, extracted_text) of each document with more than ``b`` words, each with masks of its own.
+
+    ``whole``: of every document, short, empty and null ones too; a version without a place for its mask has none.
+    """
     words = F.split(collapse(F.col("text")), " ")
-    docs = spread(read(spark, sf_dir, "documents")).select("doc_id", words.alias("words")).where(F.size("words") > b)
+    docs = spread(read(spark, sf_dir, "documents")).select("doc_id", words.alias("words"))
+    docs = docs if whole else docs.where(F.size("words") > b)
     mask = lambda at, by: F.array_join(F.transform("words", lambda w, i: F.when(i % every == at, by).otherwise(w)), " ")
     both = F.array(F.struct(F.lit(0).alias("k"), mask(a, "[REDACTED]").alias("text")), F.struct(F.lit(1).alias("k"), mask(b, "[b(6)]").alias("text")))
     rows = docs.select("doc_id", F.explode(both).alias("v"))

@@ -364,16 +364,18 @@ def cross_group_pairs(spark, d):
     return grouping.cross_group_pairs(pairs, fx.members(spark, d)).select("doc_id_a", "doc_id_b", "group_a", "group_b")
 
 
-def _grouped(spark, d):
-    """Versions with the edges and groups of those whose original has a number divisible by three, as two groups each."""
-    docs = stage(fx.versions(spark, d), "versions")
-    members = docs.select(F.concat(F.lit("g"), F.col("doc_id").cast("string")).alias("group_id"), F.col("id").alias("doc_id"))
-    return docs, members
+def _grouped(spark, d, settings=DEFAULTS):
+    """Versions of all documents, their groups by verified pairs, and the verified pairs across groups."""
+    docs = stage(fx.versions(spark, d, whole=True), "versions")
+    prints = stage(minhash.fingerprints(docs, settings), "prints")
+    pairs = similarity.lsh_candidates(prints, settings, similarity.redacted(docs, settings).select("id"))
+    edges = stage(similarity.verified_pairs(pairs, docs), "verified")
+    return docs, *grouping.group_documents(edges, prints, settings)
 
 
 @query()
 def split_groups(spark, d):
-    docs = fx.versions(spark, d)
+    docs = fx.versions(spark, d, whole=True)
     members = docs.select((F.col("doc_id") % 2).cast("string").alias("group_id"), F.col("id").alias("doc_id"))
     small = DEFAULTS.__class__(split_above=20)
     return grouping.split_groups(members, stage(minhash.fingerprints(docs), "prints"), small)
@@ -381,22 +383,21 @@ def split_groups(spark, d):
 
 @query()
 def merge_groups(spark, d):
-    docs, members = _grouped(spark, d)
+    docs, members, _ = _grouped(spark, d)
     return merge.merge_groups(members, docs).drop("recovered_segments")
 
 
 @query()
 def cross_group_merge(spark, d):
-    docs, _ = _grouped(spark, d)
-    none = spark.createDataFrame([], "doc_id string, group_id string")
-    pairs = docs.alias("a").join(docs.alias("b"), (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.id") < F.col("b.id")))
-    pairs = grouping.cross_group_pairs(pairs.select(F.col("a.id").alias("doc_id_a"), F.col("b.id").alias("doc_id_b")), none)
-    return merge.cross_group_merge(pairs, docs, spark.createDataFrame([], merge.RESULT)).drop("recovered_segments")
+    # Groups above two members are split, so that verified pairs cross groups in inputs of any size.
+    docs, members, pairs = _grouped(spark, d, DEFAULTS.__class__(split_above=2))
+    results = stage(merge.merge_groups(members, docs), "results")
+    return merge.cross_group_merge(pairs.select("doc_id_a", "doc_id_b", "group_a", "group_b"), docs, results).drop("recovered_segments")
 
 
 @query()
 def annotated_outputs(spark, d):
-    docs, members = _grouped(spark, d)
+    docs, members, _ = _grouped(spark, d)
     return report.annotated(merge.merge_groups(members, docs)).select("group_id", "base_id", F.size("spans").alias("n_spans"))
 
 
