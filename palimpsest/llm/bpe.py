@@ -16,10 +16,10 @@ columns are ignored.
 from __future__ import annotations
 
 import base64
-import hashlib
 import os
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,7 +61,6 @@ class ByteBpe:
             [pre_tokenizers.Split(Regex(pattern), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
         )
         self.bytes = dict(sorted((rank, token) for token, rank in ranks.items()))
-        self.decimal = {rank: str(rank) for rank in self.bytes}
 
     def encode(self, texts: list[str], offsets: bool = False) -> list:
         """The ids of each text; with ``offsets``, pairs of ids and (first, last) characters of each id."""
@@ -82,6 +81,16 @@ def codec(path: str, pattern: str) -> ByteBpe:
     return _workers[path, pattern]
 
 
+_tokens: dict[str, dict[int, bytes]] = {}
+
+
+def token_bytes(path: str) -> dict[int, bytes]:
+    """The bytes of each id, which is all that decoding needs."""
+    if path not in _tokens:
+        _tokens[path] = {rank: token for token, rank in read_ranks(path).items()}
+    return _tokens[path]
+
+
 def defaults() -> tuple[str, str]:
     import public_tokenizers
 
@@ -108,52 +117,42 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(p, q)
         for b in batches:
-            rows = [x for group in _groups(b["text"]) for x in bpe.encode(group, offsets=True)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b["doc_id"],
-                    pa.array([ids for ids, _ in rows], pa.list_(pa.int32())),
-                    pa.array([[a for a, _ in spans] for _, spans in rows], pa.list_(pa.int32())),
-                    pa.array([[z for _, z in spans] for _, spans in rows], pa.list_(pa.int32())),
-                ],
-                ["doc_id", "ids", "starts", "ends"],
-            )
+            at = 0
+            # A batch for each group: offsets take far more memory than texts.
+            for group in _groups(b["text"]):
+                rows = bpe.encode(group, offsets=True)
+                cuts = pa.array(np.cumsum([0, *(len(ids) for ids, _ in rows)]), pa.int32())
+                ids = np.concatenate([np.array(ids, np.int32) for ids, _ in rows])
+                spans = np.concatenate([np.array(spans, np.int32).reshape(-1, 2) for _, spans in rows])
+                lists = [pa.ListArray.from_arrays(cuts, pa.array(np.ascontiguousarray(x))) for x in (ids, spans[:, 0], spans[:, 1])]
+                yield pa.RecordBatch.from_arrays([b["doc_id"].slice(at, len(group)), *lists], ["doc_id", "ids", "starts", "ends"])
+                at += len(group)
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, starts array<int>, ends array<int>")
 
 
-def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id and the text of ids (null: empty)."""
-    p, q = (path or defaults()[0]), defaults()[1]
+def decode(encoded: DataFrame, path: str | None = None, also: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id and the text of ids (null: empty), and of each row the columns ``also``."""
+    p = path or defaults()[0]
+    rows = encoded.select("doc_id", "ids", *(c for c in also if c != "ids"))
+    schema = rows.select("doc_id", *also, F.lit("").alias("text")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = codec(p, q)
+        known = token_bytes(p).__getitem__
         for b in batches:
-            texts = [bpe.decode(ids.as_py() or []).decode() for ids in b["ids"]]
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(texts, pa.string())], ["doc_id", "text"])
+            texts = [b"".join(map(known, ids.as_py() or [])).decode() for ids in b["ids"]]
+            yield pa.RecordBatch.from_arrays([b["doc_id"], *(b[c] for c in also), pa.array(texts, pa.string())], ["doc_id", *also, "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return rows.mapInArrow(run, schema)
 
 
 def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """doc_id, n_tokens and digests of the ids and of the bytes that they decode to."""
-    p, q = (path or defaults()[0]), (pattern or defaults()[1])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = codec(p, q)
-        for b in batches:
-            n, ids_hex, text_hex = [], [], []
-            for group in _groups(b["text"]):
-                for ids in bpe.encode(group):
-                    n.append(len(ids))
-                    ids_hex.append(hashlib.sha256(" ".join(map(bpe.decimal.__getitem__, ids)).encode()).hexdigest())
-                    text_hex.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [b["doc_id"], pa.array(n, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(text_hex, pa.string())],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    """doc_id, n_tokens and digests of the ids and of the text that they decode to: what ``encode``, offsets included, and ``decode`` give."""
+    back = decode(encode(docs, path, pattern), path, ("ids", "starts", "ends"))
+    return back.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,3 +39,16 @@ def test_queries_and_edge_cases(spark, documents, pair):
         assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, rows[r.doc_id].ids)).encode()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
     assert bpe.round_trip(documents([])).count() == 0
+
+
+def test_query_runs_encode_and_decode(spark, documents, monkeypatch):
+    """The digests are those of the operator's own outputs, offsets included."""
+    seen = []
+    encode, decode = bpe.encode, bpe.decode
+    monkeypatch.setattr(bpe, "encode", lambda *a: seen.append("encode") or encode(*a))
+    monkeypatch.setattr(bpe, "decode", lambda e, *a: seen.append(e.columns) or decode(e, *a))
+    docs = documents([(1, "h\u00e9llo \U0001f44d"), (1, "h\u00e9llo \U0001f44d"), (None, None)])
+    rows = bpe.round_trip(docs).collect()
+    assert seen == ["encode", ["doc_id", "ids", "starts", "ends"]]
+    expect = hashlib.sha256("h\u00e9llo \U0001f44d".encode()).hexdigest()
+    assert sorted((r.doc_id or 0, r.decoded_sha256 == expect) for r in rows) == [(0, False), (1, True), (1, True)]
