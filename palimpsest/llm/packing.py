@@ -47,9 +47,10 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 #: Words on which the normaliser does nothing but lower the case, and which fall into runs of letters, digits and runs of
-#: other signs (the apostrophe starts endings of its own, so it is not among them); and those parts.
+#: other signs (the apostrophe starts endings of its own, so it is not among them); and those parts.  What a word may hold
+#: is one flat choice by its first byte, so that matching never goes back.
 _LETTERS, _SIGNS = rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+", rb"[!-&(-/:-@\[-`{-~]+"
-_PLAIN = re.compile(b"(?:" + _LETTERS + b"|[0-9]|" + _SIGNS + b")+")
+_PLAIN = re.compile(rb"(?:[!-&(-@\[-~]|\xc3[\x9f-\xb6\xb8-\xbf])++")
 _PARTS = re.compile(_LETTERS + b"|[0-9]|" + _SIGNS)
 
 

@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 
 import numpy as np
@@ -92,3 +93,15 @@ def test_sequences_hold_their_ids_and_are_full(spark, documents, tokenizer):
         last[k >> 32] = max(last.get(k >> 32, 0), k)
     assert all(got[k].n_ids == 100 for k in got if k not in last.values())
     assert len(got) > 100
+
+
+def test_long_words_take_linear_time():
+    """Every length of letters, signs and mixtures with a byte last that plain words do not hold."""
+    began = time.perf_counter()
+    for run in (b"a", b"!", "é".encode(), b"a!", b"1", b"ab1-"):
+        for foreign in (b"'", "’".encode(), "Ж".encode(), "×".encode()):
+            for n in (*range(1, 400), 1000, 10_000):
+                assert not packing._PLAIN.fullmatch(run * n + foreign)
+                assert packing._PLAIN.fullmatch(run * n)
+    assert time.perf_counter() - began < 20
+    assert len(WORDS.ids(b"internationalisation" * 500 + b"'s")) > 0
