@@ -38,6 +38,7 @@ class Settings:
     group_cap: int = 500
     split_above: int = 2000
     min_words_per_page: int = 50
+    open_groups: bool = True
 
     def get(self, path: str, default: Any = None) -> Any:
         """A setting by dotted name; only the last part counts."""

@@ -22,6 +22,11 @@ DESCRIPTIONS = (
 )
 IMAGE_PREFIXES = ("the image ", "this image ", "this page ", "this is an image", "this appears to be")
 HEADERS = ("From", "To", "Date", "Subject")
+# Signs of layout that anchors are compared without, in order, and what stands for them.
+LAYOUT = (
+    (r"\|[-—–]+\|", " "), ("[-—–]{3,}", " "), (r"\|", " "), (r"(?m)^#{1,6}\s+", ""), (r"\*\*", ""), ("__", ""), (r"\*", ""),
+    (r"(?m)^\s*[-•*]\s+", ""),
+)
 
 
 def lit_replace(text: Column, what: str, by: str) -> Column:
@@ -73,19 +78,23 @@ def marker_count(text: Column, markers: Sequence[str] = MARKERS) -> Column:
     return reduce(lambda a, b: a + b, each)
 
 
+def running_sums(values: Column) -> Column:
+    """Sums of an array's values up to each of them: in each step of the fold, sums over twice as many are made of two."""
+    steps = F.sequence(F.lit(0), F.greatest(F.ceil(F.log2(F.greatest(F.size(values), F.lit(1)).cast("double"))).cast("int") - 1, F.lit(0)))
+    add = lambda sums, far: F.transform(sums, lambda x, i: F.when(i >= far, x + F.get(sums, i - far)).otherwise(x))
+    return F.aggregate(steps, values, lambda sums, j: add(sums, F.call_function("shiftleft", F.lit(1), j)))
+
+
 def marker_positions(text: Column, markers: Sequence[str] = MARKERS) -> Column:
     """Array of (pos, marker), from 0, in order of place; markers may overlap each other.
 
-    The pieces between a marker's occurrences give their places as running sums.
+    The pieces before a marker's occurrences give their places as running sums.
     """
 
     def of(m: str) -> Column:
         pieces = F.split(text, F.lit(r"\Q" + m + r"\E"), -1)
-        ends = F.transform(
-            F.sequence(F.lit(1), F.size(pieces) - 1),
-            lambda k: F.aggregate(F.slice(pieces, 1, k), F.lit(0).cast("long"), lambda a, p: a + F.length(p)) + (k - 1) * len(m),
-        )
-        found = F.transform(ends, lambda p: F.struct(p.cast("long").alias("pos"), F.lit(m).alias("marker")))
+        before = F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), lambda p: F.length(p).cast("long") + len(m))
+        found = F.transform(running_sums(before), lambda end: F.struct((end - len(m)).alias("pos"), F.lit(m).alias("marker")))
         return F.when(text.contains(m), found).otherwise(F.array().cast("array<struct<pos:bigint,marker:string>>"))
 
     return F.array_sort(F.concat(*[of(m) for m in markers]))
@@ -108,12 +117,8 @@ _SPACES = " \t\n\r\x0b\x0c"
 
 
 def normalize_anchor(text: Column) -> Column:
-    """Text without the signs of tables, headings, emphasis and lists."""
-    text = F.regexp_replace(text, r"\|[-—–]+\|", " ")
-    text = lit_replace(F.regexp_replace(text, "[-—–]{3,}", " "), "|", " ")
-    text = F.regexp_replace(text, r"(?dm)^#{1,6}\s+", "")
-    text = reduce(lambda t, s: lit_replace(t, s, ""), ("**", "__", "*"), text)
-    return collapse(F.regexp_replace(text, r"(?dm)^\s*[-•*]\s+", ""))
+    """Text without the signs of tables, headings, emphasis and lists; lines end at newlines alone."""
+    return collapse(reduce(lambda t, x: F.regexp_replace(t, x[0].replace("(?m)", "(?dm)"), x[1]), LAYOUT, text))
 
 
 def alnum_count(text: Column) -> Column:

@@ -16,11 +16,13 @@ columns are ignored.
 from __future__ import annotations
 
 import base64
+import itertools
 import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,14 +62,29 @@ class ByteBpe:
         self.tokenizer.pre_tokenizer = pre_tokenizers.Sequence(
             [pre_tokenizers.Split(Regex(pattern), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
         )
-        self.bytes = dict(sorted((rank, token) for token, rank in ranks.items()))
+        self.bytes = token_bytes(path)
+        self.sizes = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.sizes[list(ranks.values())] = list(map(len, ranks))
 
-    def encode(self, texts: list[str], offsets: bool = False) -> list:
-        """The ids of each text; with ``offsets``, pairs of ids and (first, last) characters of each id."""
-        if offsets:
-            return [(e.ids, e.offsets) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def encode_with_offsets(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Where each text's ids begin (and, last, end), all ids, and of each id the first character that it covers and the one after the last.
+
+        The bytes of all ids of a text are its own bytes in order, so their sizes give each id's place in bytes; the bytes that
+        start a character, counted up to there, give its place in characters.  An id with a part of a character covers all of it.
+        """
+        each = self.encode(texts)
+        cuts = np.cumsum([0, *map(len, each)])
+        ids = np.fromiter(itertools.chain.from_iterable(each), np.int32, cuts[-1])
+        raw = np.frombuffer("".join(texts).encode(), np.uint8)
+        characters = np.cumsum((raw & 0xC0) != 0x80)
+        after = np.cumsum(self.sizes[ids])
+        first = np.repeat(np.cumsum([0, *map(len, texts[:-1])]) if texts else [], np.diff(cuts))
+        starts, ends = characters[after - self.sizes[ids]] - 1 - first, characters[after - 1] - first
+        return cuts, ids, starts.astype(np.int32), ends.astype(np.int32)
+
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
 
@@ -91,6 +108,19 @@ def token_bytes(path: str) -> dict[int, bytes]:
     return _tokens[path]
 
 
+def token_array(path: str) -> pa.Array:
+    """The bytes of the id at each place; null where there is no such id."""
+    tokens = token_bytes(path)
+    return pa.array([tokens.get(i) for i in range(max(tokens) + 1)], pa.large_binary())
+
+
+def _joined(taken: pa.Array) -> pa.Buffer:
+    if taken.null_count:
+        raise KeyError("an id is not in the vocabulary")
+    first, last = (int(np.frombuffer(taken.buffers()[1], np.int64)[taken.offset + k]) for k in (0, len(taken)))
+    return taken.buffers()[2].slice(first, last - first) if last > first else pa.py_buffer(b"")
+
+
 def defaults() -> tuple[str, str]:
     import public_tokenizers
 
@@ -118,13 +148,9 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None)
         bpe = codec(p, q)
         for b in batches:
             at = 0
-            # A batch for each group: offsets take far more memory than texts.
             for group in _groups(b["text"]):
-                rows = bpe.encode(group, offsets=True)
-                cuts = pa.array(np.cumsum([0, *(len(ids) for ids, _ in rows)]), pa.int32())
-                ids = np.concatenate([np.array(ids, np.int32) for ids, _ in rows])
-                spans = np.concatenate([np.array(spans, np.int32).reshape(-1, 2) for _, spans in rows])
-                lists = [pa.ListArray.from_arrays(cuts, pa.array(np.ascontiguousarray(x))) for x in (ids, spans[:, 0], spans[:, 1])]
+                cuts, ids, starts, ends = bpe.encode_with_offsets(group)
+                lists = [pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(x)) for x in (ids, starts, ends)]
                 yield pa.RecordBatch.from_arrays([b["doc_id"].slice(at, len(group)), *lists], ["doc_id", "ids", "starts", "ends"])
                 at += len(group)
 
@@ -138,10 +164,16 @@ def decode(encoded: DataFrame, path: str | None = None, also: tuple[str, ...] =
     schema = rows.select("doc_id", *also, F.lit("").alias("text")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = token_bytes(p).__getitem__
+        known = token_array(p)
         for b in batches:
-            texts = [b"".join(map(known, ids.as_py() or [])).decode() for ids in b["ids"]]
-            yield pa.RecordBatch.from_arrays([b["doc_id"], *(b[c] for c in also), pa.array(texts, pa.string())], ["doc_id", *also, "text"])
+            lists = pa.array([x or [] for x in b["ids"].to_pylist()], b["ids"].type) if b["ids"].null_count else b["ids"]
+            # The bytes of all ids in a row are the texts' bytes in a row; ids outside the vocabulary raise.
+            taken = known.take(lists.flatten())
+            size = np.concatenate([[0], np.cumsum(pc.binary_length(taken).to_numpy(zero_copy_only=False))])
+            cuts = pa.array(size[lists.offsets.to_numpy() - lists.offsets[0].as_py()], pa.int64())
+            texts = pa.LargeStringArray.from_buffers(len(lists), cuts.buffers()[1], _joined(taken))
+            texts.validate(full=True)
+            yield pa.RecordBatch.from_arrays([b["doc_id"], *(b[c] for c in also), texts.cast(pa.string())], ["doc_id", *also, "text"])
 
     return rows.mapInArrow(run, schema)
 

@@ -3,10 +3,11 @@ r"""Quality rules with cross-document line frequencies, in DataFrame operations
 Each document is one row of measures and, for the frequencies, one row for each
 distinct normalised line (lower case, white space as single blanks) with its
 hash and its number of words.  Per host (``source``) the documents that hold a
-line are counted, exact copies of a document once; a line above both limits is
-boilerplate of that host.  Its words are taken off the documents that hold it,
-and a document left with less than ``MIN_LEFT`` of its words is depleted and
-rejected.
+line are counted, exact copies of a document once.  A line is boilerplate of its
+host by either of two measures: by count, in hosts of any size, or by its share
+of the host's documents, which small hosts reach too.  Its words are taken off
+the documents that hold it, and a document left with less than ``MIN_LEFT`` of
+its words is depleted and rejected.
 
 Words are maximal runs of characters other than blank, tab, newline, vertical
 tab, form feed and return.  Windows of three words are compared by a 64-bit hash.
@@ -14,23 +15,24 @@ tab, form feed and return.  Windows of three words are compared by a 64-bit hash
 Defined cases: a null text has no words (and fails the base rules); a null
 source is a host of its own; rows that share doc_id, source and text are one
 document, and each gets its verdict; an empty table gives an empty result;
-further columns are ignored.
+further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.llm.names import free_names
 from palimpsest.staging import stage
 
 SYMBOLS = "#*$%&|<>"
 SPACE = " \t\n\x0b\x0c\r"
 MIN_WORDS, MAX_REPEAT = 50, 50
-#: A line is boilerplate if more documents of its host hold it than MIN_DOCS, and than one in SHARE of them.
-MIN_DOCS, SHARE = 20, 100
+#: A line is boilerplate if more documents of its host hold it than MANY, or if FEW at least do and more than one in SHARE of them.
+MANY, FEW, SHARE = 20, 5, 100
 #: Words that must be left, as a percentage.
-MIN_LEFT = 30
+MIN_LEFT = 70
 
 _GAP = r"[\\x20\\x09-\\x0D]+"
 
@@ -77,35 +79,37 @@ def measures(docs: DataFrame) -> DataFrame:
     return rows.select("uid", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", F.expr(covered).alias("n_repeat_words"))
 
 
-def boilerplate(docs: DataFrame, min_docs: int = MIN_DOCS, share: int = SHARE) -> DataFrame:
-    """(line_key): hashes of host and normalised line of the lines above both limits, written to the shared folder."""
+def boilerplate(docs: DataFrame, many: int = MANY, few: int = FEW, share: int = SHARE) -> DataFrame:
+    """(line_key): hashes of host and normalised line of the lines above the limits, written to the shared folder."""
     rows = docs.where(F.col("text").isNotNull()).select(
         F.xxhash64("source").alias("host"), F.xxhash64("text").alias("text_hash"), F.explode(F.array_distinct(normal_lines(F.col("text")))).alias("line")
     )
     rows = rows.select("host", "text_hash", F.xxhash64("host", "line").alias("line_key"))
     # Copies of a document count once: first one row for each (host, line, text), then a count for each (host, line).
-    lines = rows.distinct().groupBy("host", "line_key").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > min_docs)
+    lines = rows.distinct().groupBy("host", "line_key").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") >= min(few, many + 1))
     hosts = docs.where(F.col("text").isNotNull()).select(F.xxhash64("source").alias("host"), F.xxhash64("text").alias("text_hash"))
     hosts = hosts.distinct().groupBy("host").agg(F.count("*").alias("n_all"))
-    return stage(lines.join(hosts, "host").where(F.col("n_docs") * share > F.col("n_all")).select("line_key"), "boilerplate")
+    by_share = (F.col("n_docs") >= few) & (F.col("n_docs") * share > F.col("n_all"))
+    return stage(lines.join(hosts, "host").where((F.col("n_docs") > many) | by_share).select("line_key"), "boilerplate")
 
 
 def removed_lines(docs: DataFrame, bad: DataFrame) -> DataFrame:
-    """(uid, removed, line_keys) of documents that hold boilerplate: its words over all rows of that uid, and the lines."""
+    """(uid, removed_words, line_keys) of documents that hold boilerplate: its words, and the lines."""
     rows = docs.where(F.col("text").isNotNull()).select(
-        _uid().alias("uid"), F.xxhash64("source").alias("host"), F.explode(normal_lines(F.col("text"))).alias("line")
+        _uid().alias("uid"), F.xxhash64("source").alias("host"), F.posexplode(normal_lines(F.col("text"))).alias("place", "line")
     )
-    rows = rows.select("uid", F.xxhash64("host", "line").alias("line_key"), F.size(F.split("line", " ")).alias("words"))
+    rows = rows.select("uid", "place", F.xxhash64("host", "line").alias("line_key"), F.size(F.split("line", " ")).cast("long").alias("words"))
     # ``bad`` is a written table: Spark knows its size, and broadcasts it only below the session's threshold.
-    return rows.join(bad, "line_key").groupBy("uid").agg(F.sum("words").alias("removed"), F.collect_set("line_key").alias("line_keys"))
+    # Of rows that repeat a document, each line counts once: sets stay as large as one of them, however many there are.
+    found = rows.join(bad, "line_key").groupBy("uid").agg(F.collect_set(F.struct("place", "line_key", "words")).alias("lines"))
+    total = F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + x["words"])
+    return found.select("uid", total.alias("removed_words"), F.array_distinct(F.transform("lines", lambda x: x["line_key"])).alias("line_keys"))
 
 
 def judge(docs: DataFrame, bad: DataFrame | None = None) -> DataFrame:
     """One row for each row: uid, doc_id, the measures, removed_words, base_failed, kept, line_keys (lines to remove)."""
     bad = boilerplate(docs) if bad is None else bad
-    rows = measures(docs).join(removed_lines(docs, bad), "uid", "left")
-    # Rows that repeat a document have added up their words.
-    rows = rows.withColumn("removed_words", F.coalesce((F.col("removed") / F.count("*").over(Window.partitionBy("uid"))).cast("long"), F.lit(0).cast("long")))
+    rows = measures(docs).join(removed_lines(docs, bad), "uid", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0).cast("long")))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
     depleted = 100 * (F.col("n_words") - F.col("removed_words")) < MIN_LEFT * F.col("n_words")
     return rows.select(
@@ -121,16 +125,17 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def clean(docs: DataFrame) -> DataFrame:
     """The documents that are kept, in the columns of ``docs``, without their lines above the limits."""
-    kept = judge(docs).where("kept").select("uid", "line_keys").dropDuplicates(["uid"])
-    rows = docs.withColumn("uid", _uid()).join(kept, "uid")
+    uid, own_id, own_uid, line_keys = free_names(docs.columns, "uid", "kept_id", "kept_uid", "line_keys")
+    kept = judge(docs).where("kept").select(F.col("doc_id").alias(own_id), F.col("uid").alias(own_uid), F.col("line_keys").alias(line_keys)).dropDuplicates([own_id, own_uid])
+    rows = docs.withColumn(uid, _uid()).join(kept, (F.col(uid) == F.col(own_uid)) & F.col("doc_id").eqNullSafe(F.col(own_id)))
     left = F.array_join(
         F.filter(
             F.split("text", "\n"),
-            lambda x: ~F.array_contains("line_keys", F.xxhash64(F.xxhash64("source"), F.lower(F.trim(F.regexp_replace(x, r"[\x20\x09-\x0D]+", " "))))),
+            lambda x: ~F.array_contains(line_keys, F.xxhash64(F.xxhash64("source"), F.lower(F.trim(F.regexp_replace(x, r"[\x20\x09-\x0D]+", " "))))),
         ),
         "\n",
     )
-    text = F.when(F.col("line_keys").isNull(), F.col("text")).otherwise(left)
+    text = F.when(F.col(line_keys).isNull(), F.col("text")).otherwise(left)
     rows = rows.withColumn("text", text)
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
@@ -164,7 +169,7 @@ lines AS (
 ),
 freq AS (SELECT source, line, count(DISTINCT text) AS n_docs FROM lines GROUP BY ALL),
 hosts AS (SELECT source, count(DISTINCT text) AS n_all FROM documents WHERE text IS NOT NULL GROUP BY source),
-bad AS (SELECT source, line FROM freq JOIN hosts USING (source) WHERE n_docs > 20 AND n_docs * 100 > n_all),
+bad AS (SELECT source, line FROM freq JOIN hosts USING (source) WHERE n_docs > 20 OR (n_docs >= 5 AND n_docs * 100 > n_all)),
 gone AS (SELECT rid, sum(len(string_split(line, ' '))) AS removed FROM lines JOIN bad USING (source, line) GROUP BY rid),
 m AS (
     SELECT d.doc_id, len(ws) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
@@ -174,6 +179,6 @@ m AS (
     FROM d JOIN w USING (rid) LEFT JOIN nrep USING (rid) LEFT JOIN gone USING (rid)
 )
 SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * (n_words - removed_words) >= 30 * n_words AS kept
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * (n_words - removed_words) >= 70 * n_words AS kept
 FROM m
 """

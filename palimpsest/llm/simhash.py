@@ -30,6 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.llm.names import free_names
 from palimpsest.operators.components import connected_components
 from palimpsest.staging import drop, stage
 
@@ -222,6 +223,9 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage_simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: the one with the smallest doc_id (of repeated rows, one)."""
-    kept = near_duplicates(docs).where("uid = keep_uid").select("uid").distinct()
-    rows = docs.withColumn("uid", F.xxhash64("doc_id", "text"))
-    return rows.join(kept, "uid", "left_semi").dropDuplicates(["uid"]).select(*docs.columns)
+    uid, kept_id, kept_uid = free_names(docs.columns, "uid", "kept_id", "kept_uid")
+    # The hash alone may be another document's, too; with the doc_id it is this one's.
+    kept = near_duplicates(docs).where("uid = keep_uid").select(F.col("doc_id").alias(kept_id), F.col("uid").alias(kept_uid)).distinct()
+    rows = docs.withColumn(uid, F.xxhash64("doc_id", "text"))
+    stays = rows.join(kept, F.col("doc_id").eqNullSafe(F.col(kept_id)) & (F.col(uid) == F.col(kept_uid)), "left_semi")
+    return stays.dropDuplicates(["doc_id", uid]).select(*docs.columns)

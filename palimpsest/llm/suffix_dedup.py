@@ -22,7 +22,8 @@ number of rows is in proportion to the bytes.  Strings are compared by two
 Defined cases: a null text counts as empty; texts shorter than ``length`` lose
 nothing; all copies of a repeated string go, the first included; rows that
 share doc_id and text (repeated rows) are occurrences of their own, and get the
-same verdict; an empty table gives an empty result; further columns are ignored.
+same verdict; an empty table gives an empty result; further columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -33,13 +34,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.llm.names import free_names
 from palimpsest.staging import drop, stage
 
 LENGTH = 400
+#: As the pipeline's stage takes it.
+STAGE_LENGTH = 400
 #: Positions among which the trigger of a window is chosen, and bytes of the rolling hash.
 REACH, ROLL = 256, 8
 #: Starts in one part of a phrase that is cut.
@@ -138,10 +141,10 @@ def _cut(length: int, span: int, part: int):
     """Rows with a text and its undecided phrases to one row for each part of those: ``part`` starts, counted from the trigger."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor().decompress
         for b in batches:
-            for uid, packed, todo in zip(b["uid"].to_pylist(), b["packed"], b["todo"]):
-                text, rows = unpack(packed.as_py()), np.array([[x["lo"], x["hi"], x["at"]] for x in todo.as_py()])
+            for uid, text, todo in zip(b["uid"].to_pylist(), b["text"], b["todo"]):
+                text, todo = text.as_py(), todo.values
+                rows = np.stack([todo.field(c).to_numpy() for c in ("lo", "hi", "at")], axis=1)
                 parts = []
                 for k in range(-(-span // part)):
                     at = rows[:, 2] - k * part
@@ -155,44 +158,22 @@ def _cut(length: int, span: int, part: int):
     return run
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.xxhash64("doc_id", "text").alias("uid"), "doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
+def numbered(docs: DataFrame, uid: str = "uid") -> DataFrame:
+    """The rows with a number of their own, written once: rows that are alike in all columns are told apart, too."""
+    return stage(docs.withColumn(uid, F.monotonically_increasing_id()), "numbered")
 
 
-def _packed(docs: DataFrame) -> DataFrame:
-    """(uid, doc_id, packed): whole texts, compressed for the shuffle."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=3).compress
-        for b in batches:
-            yield pa.RecordBatch.from_arrays(
-                [b["uid"], b["doc_id"], pa.array([pack(t.as_py()) for t in b["text"]], pa.binary())], ["uid", "doc_id", "packed"]
-            )
-
-    return _texts(docs).mapInArrow(run, "uid long, doc_id long, packed binary")
+def _texts(rows: DataFrame) -> DataFrame:
+    return rows.select("uid", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
 
 
 def _decide(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-    """(uid, lo, hi) of phrases that repeat entirely, and (uid, lo, hi, at) of what has to be looked at more closely."""
-    alike = Window.partitionBy("shared")
-    same = Window.partitionBy("shared", "full")
-    counted = rows.select(
-        "uid", "lo", "hi", "at",
-        F.count("*").over(alike).alias("n"), F.count("*").over(same).alias("copies"),
-        F.row_number().over(same.orderBy("uid", "lo")).alias("place"),
-    ).where("n > 1")
-    # Of copies one stands for all among the phrases that are like them without being equal.
-    found = stage(
-        counted.select("uid", "lo", "hi", "at", (F.col("copies") > 1).alias("repeats"), F.expr("n > copies AND place = 1").alias("open")).where("repeats OR open"), name
-    )
-    return found.where("repeats").select("uid", "lo", "hi"), found.where("open").select("uid", "lo", "hi", "at")
-
+    """(uid, lo, hi) of phrases that repeat entirely, and (uid, lo, hi, at) of what has to be looked at more closely.
 
-def _decide_ends(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-    """As ``_decide``, for the ends of repeats, of which very many can share a digest (the end of a passage in most texts).
-
-    Rows are counted before they are dealt, first by both digests and then by one; what the counts say is joined
-    to the rows from written tables, so that a digest with many rows is split among tasks.
+    Very many phrases can share a digest: those of periodic text, the ends of a passage in most texts.  So rows are
+    counted before they are dealt, first by both digests and then by one; what the counts say is joined to the rows
+    from written tables, so that a digest with many rows is split among tasks.  Of copies one stands for all among
+    the phrases that are like them without being equal.
     """
     rows = stage(rows, f"{name}-rows")
     kinds = stage(rows.groupBy("shared", "full").agg(F.count("*").alias("copies"), F.min(F.struct("uid", "lo")).alias("first")), f"{name}-kinds")
@@ -207,15 +188,15 @@ def _decide_ends(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     return found.where("repeats").select("uid", "lo", "hi"), found.where("open").select("uid", "lo", "hi", "at")
 
 
-def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(uid, lo, hi): the windows starting at lo..hi of the text of that uid have an equal one elsewhere."""
-    found, todo = _decide(_texts(docs).mapInArrow(_parse(length), ROWS), "phrases")
-    texts = _packed(docs)
-    span = _reach(length)
+def repeats(rows: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(uid, lo, hi): the windows starting at lo..hi of the text of that uid have an equal one elsewhere; ``rows``: uid, text."""
+    found, todo = _decide(_texts(rows).mapInArrow(_parse(length), ROWS), "phrases")
+    texts, span = _texts(rows), _reach(length)
     for part in (PART, 1):
-        grouped = todo.groupBy("uid").agg(F.collect_set(F.struct("lo", "hi", "at")).alias("todo"))
-        rows = texts.join(grouped.hint("merge"), "uid").select("uid", "packed", "todo").mapInArrow(_cut(length, span, part), ROWS)
-        more, todo = _decide_ends(rows, f"phrases-{part}")
+        grouped = stage(todo.groupBy("uid").agg(F.collect_set(F.struct("lo", "hi", "at")).alias("todo")), f"todo-{part}")
+        parts = texts.join(grouped, "uid").select("uid", "text", "todo").mapInArrow(_cut(length, span, part), ROWS)
+        more, todo = _decide(parts, f"phrases-{part}")
+        drop(rows.sparkSession, grouped)
         found, span = found.unionByName(more), part
     return found
 
@@ -224,11 +205,10 @@ def _strip(length: int):
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor().decompress
         for b in batches:
             rows = []
-            for doc_id, packed, spans in zip(b["doc_id"].to_pylist(), b["packed"], b["spans"]):
-                text, spans, at, kept, n_spans = unpack(packed.as_py()), spans.as_py(), 0, [], 0
+            for doc_id, text, spans in zip(b["doc_id"].to_pylist(), b["text"], b["spans"]):
+                text, spans, at, kept, n_spans = text.as_py(), spans.as_py(), 0, [], 0
                 end = -1
                 for x in sorted(spans or [], key=lambda x: x["lo"]):
                     if x["lo"] > end:  # spans that touch are one
@@ -245,13 +225,18 @@ def _strip(length: int):
     return run
 
 
+def _spans(rows: DataFrame, length: int) -> DataFrame:
+    """(uid, spans) of the texts that lose something, written, so that its size is known to the join that follows."""
+    return stage(repeats(rows, length).groupBy("uid").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "spans")
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) for each row; kept: the remaining bytes."""
     if length < ROLL:
         raise ValueError(f"length must be {ROLL} at least")
-    spans = repeats(docs, length).groupBy("uid").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
-    rows = _packed(docs).join(spans.hint("merge"), "uid", "left").select("doc_id", "packed", "spans")
-    return rows.mapInArrow(_strip(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    rows = numbered(docs.select("doc_id", "text"))
+    both = rows.select("uid", "doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")).join(_spans(rows, length), "uid", "left")
+    return both.select("doc_id", "text", "spans").mapInArrow(_strip(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -259,13 +244,13 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-def _strip_text(length: int, columns: list[str]):
+def _strip_text(length: int, columns: list[str], spans_name: str):
     """The rows with what is left of their texts; a character that a cut divides goes as a whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = []
-            for text, spans in zip(b["text"], b["_spans"]):
+            for text, spans in zip(b["text"], b[spans_name]):
                 text, spans, end, kept = text.as_py(), spans.as_py(), 0, []
                 if spans:
                     raw = text.encode()
@@ -281,11 +266,11 @@ def _strip_text(length: int, columns: list[str]):
 
 
 def stage_suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the bytes of repeated strings; n_chars follows the text."""
-    spans = repeats(docs).groupBy("uid").agg(F.collect_set(F.struct("lo", "hi")).alias("_spans"))
-    rows = docs.withColumn("_uid", F.xxhash64("doc_id", "text")).join(spans.withColumnRenamed("uid", "_uid").hint("merge"), "_uid", "left")
-    rows = rows.select(*docs.columns, "_spans")
-    out = rows.mapInArrow(_strip_text(LENGTH, docs.columns), docs.schema)
+    """All documents, without the bytes of repeated strings of ``STAGE_LENGTH`` bytes; n_chars follows the text."""
+    uid, spans = free_names(docs.columns, "uid", "spans")
+    rows = numbered(docs, uid)
+    found = _spans(rows.select(F.col(uid).alias("uid"), "text"), STAGE_LENGTH).select(F.col("uid").alias(uid), F.col("spans").alias(spans))
+    out = rows.join(found, uid, "left").select(*docs.columns, spans).mapInArrow(_strip_text(STAGE_LENGTH, docs.columns, spans), docs.schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

@@ -11,18 +11,37 @@ from pyspark.sql import functions as F
 
 from palimpsest.config import DEFAULTS, Settings
 from palimpsest.functions.minhash import bands, fingerprints
-from palimpsest.functions.text import complementary, email_headers, looks_like_email, marker_count, strip_markers
+from palimpsest.functions.text import clean_text, clean_words, complementary, email_headers, has_marker, looks_like_email, marker_count, strip_markers
 from palimpsest.staging import stage
 
 #: Bands and rows that suit a threshold of similarity.
 BANDS = {0.70: (14, 9), 0.75: (11, 11), 0.80: (9, 13), 0.85: (8, 16), 0.90: (5, 25), 0.95: (3, 42)}
 
 
+def recall(jaccard: float, settings: Settings = DEFAULTS) -> float:
+    """The chance that two documents of this similarity share a band: at 0.70, 0.44 with 14 bands of 9 rows and 0.99 with 25 of 5."""
+    return 1 - (1 - jaccard**settings.rows_per_band) ** settings.bands
+
+
+def text_classes(docs: DataFrame) -> DataFrame:
+    """(id, class_id) of each document with a text; equal texts are a class, named by its least id."""
+    rows = docs.where(F.col("extracted_text").isNotNull()).select("id", F.sha2("extracted_text", 256).alias("digest"))
+    rows = stage(rows, "digests")
+    least = stage(rows.groupBy("digest").agg(F.min("id").alias("class_id")), "classes")
+    # Both sides come straight from files, so that a text that many documents share is split among tasks.
+    return rows.join(least, "digest").select("id", "class_id")
+
+
+def representatives(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The documents that stand for their class."""
+    return docs.join(classes.where("id = class_id").select("id"), "id", "left_semi")
+
+
 def lsh_candidates(prints: DataFrame, settings: Settings = DEFAULTS, query_ids: DataFrame | None = None) -> DataFrame:
     """Pairs (doc_id_a < doc_id_b) of documents (id, sig) that share a band; one of them in ``query_ids`` (id), if given.
 
-    A band's key with m documents has m - 1 followers of its first member and no more rows than
-    pairs, and only pairs with a member of ``query_ids`` are made.
+    All pairs of a band's key are made that have a member of ``query_ids``, as each is to be verified: copies are to be
+    left out before, by ``representatives``.  Keys that many documents share are split by Spark's handling of skewed joins.
     """
     rows = prints.select("id", F.explode(bands(F.col("sig"), settings.bands, settings.rows_per_band)).alias("x")).select("id", "x.band", "x.key")
     asking = rows if query_ids is None else rows.join(query_ids.select("id").distinct(), "id", "left_semi")
@@ -37,10 +56,61 @@ def min_segment(shorter: int) -> int:
 
 def common_runs(a: str, b: str, k: int) -> list[tuple[int, int]]:
     """Maximal stretches [start, end) of ``a`` covered by strings of k characters that ``b`` has too; stretches that only touch stay apart."""
-    if len(a) < k or len(b) < k:
+    return _runs(Text(a), Text(b), k)
+
+
+_BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so that it has an inverse
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+
+
+class Text:
+    """A text with hashes of its strings of k characters, made once for all texts that it is compared with."""
+
+    def __init__(self, text: str):
+        self.text, self.points, self.made = text, np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), {}
+
+    def grams(self, k: int) -> np.ndarray:
+        """Of each string of k characters, the polynomial of its characters in ``_BASE``, modulo 2^64."""
+        if ("grams", k) not in self.made:
+            n = len(self.points)
+            powers = np.full(n, _BASE).cumprod(dtype=np.uint64)
+            sums = np.concatenate([np.zeros(1, np.uint64), (_mixed(self.points) * powers).cumsum(dtype=np.uint64)])
+            self.made["grams", k] = (sums[k:] - sums[:-k]) * np.full(n - k + 1, _INVERSE).cumprod(dtype=np.uint64)
+        return self.made["grams", k]
+
+    def first_places(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct hashes in order, and where each is first."""
+        if ("places", k) not in self.made:
+            self.made["places", k] = np.unique(self.grams(k), return_index=True)
+        return self.made["places", k]
+
+
+def _mixed(points: np.ndarray) -> np.ndarray:
+    """Characters as numbers that have nothing in common with their order."""
+    x = (points.astype(np.uint64) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(31)
+    x *= np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(29)
+
+
+def _runs(a: Text, b: Text, k: int) -> list[tuple[int, int]]:
+    if min(len(a.points), len(b.points)) < k:
+        return []
+    known, first = b.first_places(k)
+    grams = a.grams(k)
+    at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
+    hits = np.flatnonzero(known[at] == grams)
+    if not len(hits):
         return []
-    grams = {b[i : i + k] for i in range(len(b) - k + 1)}
-    hits = np.fromiter((i for i in range(len(a) - k + 1) if a[i : i + k] in grams), np.int64)
+    # Equal hashes are held against the characters, in stretches that go on side by side in both texts.
+    places = first[at[hits]]
+    ends = np.flatnonzero((np.diff(hits, append=-1) != 1) | (np.diff(places, append=-1) != 1))
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    for i, j, n in zip(hits[starts].tolist(), places[starts].tolist(), (ends - starts).tolist()):
+        if not np.array_equal(a.points[i : i + n + k], b.points[j : j + n + k]):  # two strings with one hash
+            own = {b.text[x : x + k] for x in range(len(b.text) - k + 1)}
+            hits = np.array([x for x in range(len(a.text) - k + 1) if a.text[x : x + k] in own], np.int64)
+            break
     if not len(hits):
         return []
     cut = np.flatnonzero(np.diff(hits) >= k) + 1
@@ -52,10 +122,14 @@ def common_segments(pairs: DataFrame) -> DataFrame:
     columns = [f for f in pairs.schema if f.name not in ("a_text", "b_text")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = Text("")
         for batch in batches:
             n, size = [], []
             for a, b in zip(batch["a_text"].to_pylist(), batch["b_text"].to_pylist()):
-                runs = common_runs(a or "", b or "", min_segment(min(len(a or ""), len(b or ""))))
+                a, b = a or "", b or ""
+                if b != last.text:  # pairs come sorted by their second document
+                    last = Text(b)
+                runs = _runs(Text(a), last, min_segment(min(len(a), len(b))))
                 n.append(len(runs))
                 size.append(sum(z - s for s, z in runs) + max(len(runs) - 1, 0))
             kept = [batch[f.name] for f in columns]
@@ -87,6 +161,22 @@ def verified_pairs(pairs: DataFrame, docs: DataFrame, settings: Settings = DEFAU
     return common_segments(rows).where(enough).select("doc_id_a", "doc_id_b", (F.col("common_len") / F.col("longest")).alias("similarity"), "common_len")
 
 
+def verified_copies(docs: DataFrame, classes: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """(doc_id_a, doc_id_b, similarity, common_len) of the representative of each class with its other members.
+
+    As pairs they share every marker, so they have enough in common above ``plain_overlap_chars`` and if they have a marker
+    and a fingerprint, as ``candidate_pairs`` asks for.
+    """
+    m = settings.markers
+    own = strip_markers(F.col("extracted_text"), m)
+    words = F.size(clean_words(clean_text(F.col("extracted_text"), m)))
+    long = redacted(representatives(docs, classes), settings).where(words >= settings.shingle_words)
+    long = long.select(F.col("id").alias("doc_id_a"), F.length(own).cast("bigint").alias("common_len"), F.greatest(F.length("extracted_text"), F.lit(1)).alias("longest"))
+    long = long.where(F.col("common_len") > settings.plain_overlap_chars)
+    copies = classes.where("id != class_id").select(F.col("class_id").alias("doc_id_a"), F.col("id").alias("doc_id_b"))
+    return copies.join(long, "doc_id_a").select("doc_id_a", "doc_id_b", (F.col("common_len") / F.col("longest")).alias("similarity"), "common_len")
+
+
 def header_values(emails: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Distinct (id, value) of header values, lower case, that are not too frequent; whatever the header."""
     found = emails.where(looks_like_email(F.col("extracted_text"))).select("id", F.explode(email_headers(F.col("extracted_text"))).alias("value"))
@@ -120,8 +210,6 @@ def header_edges(emails: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
 
 def redacted(docs: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Documents with some marker, whatever its case."""
-    from palimpsest.functions.text import has_marker
-
     return docs.where(has_marker(F.col("extracted_text"), settings.markers))
 
 

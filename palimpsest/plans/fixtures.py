@@ -21,14 +21,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 DOCUMENTS_SQL = "d0 AS (SELECT CAST(doc_id AS VARCHAR) AS id, source AS release_batch, n_chars AS size_bytes, text AS extracted_text FROM documents)"
 
 
-def versions(spark: SparkSession, sf_dir: str, every: int = EVERY, a: int = PLACE_A, b: int = PLACE_B, whole: bool = False) -> DataFrame:
-    """Two versions (id, doc_id, extracted_text) of each document with more than ``b`` words, each with masks of its own.
-
-    ``whole``: of every document, short, empty and null ones too; a version without a place for its mask has none.
-    """
+def versions(spark: SparkSession, sf_dir: str, every: int = EVERY, a: int = PLACE_A, b: int = PLACE_B) -> DataFrame:
+    """Two versions (id, doc_id, extracted_text) of every document, each with masks of its own; one without a place for its mask has none."""
     words = F.split(collapse(F.col("text")), " ")
     docs = spread(read(spark, sf_dir, "documents")).select("doc_id", words.alias("words"))
-    docs = docs if whole else docs.where(F.size("words") > b)
     mask = lambda at, by: F.array_join(F.transform("words", lambda w, i: F.when(i % every == at, by).otherwise(w)), " ")
     both = F.array(F.struct(F.lit(0).alias("k"), mask(a, "[REDACTED]").alias("text")), F.struct(F.lit(1).alias("k"), mask(b, "[b(6)]").alias("text")))
     rows = docs.select("doc_id", F.explode(both).alias("v"))
@@ -40,12 +36,13 @@ vw AS (SELECT doc_id, string_split(trim(regexp_replace(text, '\s+', ' ', 'g')),
 v AS (
     SELECT CAST(doc_id * 2 AS VARCHAR) AS id, doc_id,
            array_to_string(list_transform(words, lambda w, i: CASE WHEN (i - 1) % {EVERY} = {PLACE_A} THEN '[REDACTED]' ELSE w END), ' ') AS extracted_text
-    FROM vw WHERE len(words) > {PLACE_B}
+    FROM vw
     UNION ALL
     SELECT CAST(doc_id * 2 + 1 AS VARCHAR), doc_id,
            array_to_string(list_transform(words, lambda w, i: CASE WHEN (i - 1) % {EVERY} = {PLACE_B} THEN '[b(6)]' ELSE w END), ' ')
-    FROM vw WHERE len(words) > {PLACE_B}
-)"""
+    FROM vw
+),
+rp AS (SELECT min(id) AS id, extracted_text FROM v WHERE extracted_text IS NOT NULL GROUP BY extracted_text)"""
 
 
 def emails(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,10 +85,10 @@ st AS (
 
 def members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers in groups by supplier-like keys: (group_id, doc_id)."""
-    return read(spark, sf_dir, "orders").where("o_orderkey % 3 = 0").select((F.col("o_custkey") % 97).cast("string").alias("group_id"), F.col("o_orderkey").cast("string").alias("doc_id"))
+    return read(spark, sf_dir, "orders").select((F.col("o_custkey") % 97).cast("string").alias("group_id"), F.col("o_orderkey").cast("string").alias("doc_id"))
 
 
-MEMBERS_SQL = "mb AS (SELECT CAST(o_custkey % 97 AS VARCHAR) AS group_id, CAST(o_orderkey AS VARCHAR) AS doc_id FROM orders WHERE o_orderkey % 3 = 0)"
+MEMBERS_SQL = "mb AS (SELECT CAST(o_custkey % 97 AS VARCHAR) AS group_id, CAST(o_orderkey AS VARCHAR) AS doc_id FROM orders)"
 
 
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.config import DEFAULTS, MARKERS
 from palimpsest.functions import minhash, text
-from palimpsest.operators import entities, grouping, merge, report, similarity, state
+from palimpsest.operators import cycle, entities, grouping, similarity, state
 from palimpsest.plans import fixtures as fx
 from palimpsest.sources import scans
 from palimpsest.staging import stage
@@ -46,18 +46,27 @@ def _strip(column: str) -> str:
     return rf"trim(regexp_replace(regexp_replace({_replaced(column)}, '█+', ' ', 'g'), '\s+', ' ', 'g'))"
 
 
-COUNT = "(" + " + ".join(f"(length(extracted_text) - length(replace(extracted_text, {_quoted(m)}, ''))) // {len(m)}" for m in MARKERS) + ")"
-SHINGLES = f"""
-c AS (SELECT id, string_split({CLEAN}, ' ') AS w FROM v),
+COUNT = "(" + " + ".join(f"(length(coalesce(extracted_text, '')) - length(replace(coalesce(extracted_text, ''), {_quoted(m)}, ''))) // {len(m)}" for m in MARKERS) + ")"
+def _shingles(table: str) -> str:
+    return f"""
+c AS (SELECT id, string_split({CLEAN}, ' ') AS w FROM {table}),
 sh AS (SELECT id, array_to_string(w[i:i + 7], ' ') AS s, i FROM (SELECT id, w, unnest(range(1, len(w) - 6)) AS i FROM c WHERE len(w) >= 8))"""
+
+
+SHINGLES = _shingles("v")
 PERMS = ", ".join(f"({i}, {a}, {b})" for i, (a, b) in enumerate(minhash.permutations(DEFAULTS.permutations)))
-SIGNATURES = f"""{SHINGLES},
+HASHES = f"""
 h AS (SELECT DISTINCT id, CAST('0x' || substr(md5(s), 1, 8) AS BIGINT) % {minhash.PRIME} AS h FROM sh),
 p(i, a, b) AS (VALUES {PERMS}),
 m AS (SELECT id, i, min((a * h + b) % {minhash.PRIME}) AS x FROM h CROSS JOIN p GROUP BY id, i)"""
-CANDIDATES = f"""{SIGNATURES},
+SIGNATURES = f"{SHINGLES}, {HASHES}"
+HAS = " OR ".join(f"contains(lower(extracted_text), {_quoted(m.lower())})" for m in MARKERS)
+# Pairs of representatives of equal texts, one of them with a marker.
+CANDIDATES = f"""{_shingles("rp")}, {HASHES},
+mk AS (SELECT id, {HAS} AS masked FROM rp),
 bd AS (SELECT id, i // 9 AS band, string_agg(CAST(x AS VARCHAR), ',' ORDER BY i) AS key FROM m WHERE i < 126 GROUP BY id, i // 9),
-cand AS (SELECT DISTINCT a.id AS doc_id_a, b.id AS doc_id_b FROM bd a JOIN bd b USING (band, key) WHERE a.id < b.id)"""
+cand AS (SELECT DISTINCT a.id AS doc_id_a, b.id AS doc_id_b FROM bd a JOIN bd b USING (band, key) JOIN mk x ON x.id = a.id JOIN mk y ON y.id = b.id
+         WHERE a.id < b.id AND (x.masked OR y.masked))"""
 
 # --- scans -----------------------------------------------------------------------------------
 
@@ -99,11 +108,11 @@ def shard_router(spark, d):
     return fx.documents(spark, d).groupBy("release_batch", shard).agg(F.count("*").alias("n"))
 
 
-@query("SELECT CAST(a.doc_id AS VARCHAR) AS id, length(coalesce(b.text, '')) AS n FROM documents a LEFT JOIN (SELECT * FROM documents WHERE doc_id % 2 = 0) b USING (doc_id)")
+@query("SELECT CAST(a.doc_id AS VARCHAR) AS id, length(coalesce(b.text, '')) AS n FROM documents a LEFT JOIN (SELECT * FROM documents SEMI JOIN labels USING (doc_id)) b USING (doc_id)")
 def metadata_with_texts(spark, d):
     docs = fx.documents(spark, d)
-    half = docs.where(F.col("id").cast("long") % 2 == 0)
-    return scans.with_texts(scans.metadata(docs), half).select("id", F.length("extracted_text").alias("n"))
+    labelled = docs.join(read(spark, d, "labels").select(F.col("doc_id").cast("string").alias("id")), "id", "left_semi")
+    return scans.with_texts(scans.metadata(docs), labelled).select("id", F.length("extracted_text").alias("n"))
 
 
 PIXELS = "list_transform(range(0, 200), lambda i: (o_orderkey * 31 + i * i * (o_orderkey % 7)) % CASE o_orderkey % 4 WHEN 0 THEN 26 WHEN 1 THEN 150 ELSE 256 END + CASE o_orderkey % 4 WHEN 3 THEN 229 ELSE 0 END)"
@@ -155,9 +164,6 @@ def marker_count(spark, d):
     return fx.versions(spark, d).select("id", text.marker_count(F.col("extracted_text")).alias("n"))
 
 
-HAS = " OR ".join(f"contains(lower(extracted_text), {_quoted(m.lower())})" for m in MARKERS)
-
-
 @query(f"WITH {fx.VERSIONS_SQL}, {fx.EMAILS_SQL}, a AS (SELECT id, extracted_text FROM v UNION ALL SELECT 'e' || id, extracted_text FROM e) "
        f"SELECT id, extracted_text ILIKE '%From:%' OR extracted_text ILIKE '%To:%' AS email, {HAS} AS masked FROM a")
 def prefilters(spark, d):
@@ -262,16 +268,26 @@ def minhash_signature(spark, d):
     return minhash.fingerprints(fx.versions(spark, d)).select("id", F.md5(F.array_join(F.col("sig").cast("array<string>"), ",")).alias("sig_md5"))
 
 
+@query(f"WITH {fx.VERSIONS_SQL} SELECT id, min(id) OVER (PARTITION BY extracted_text) AS class_id FROM v WHERE extracted_text IS NOT NULL")
+def text_classes(spark, d):
+    return similarity.text_classes(fx.versions(spark, d))
+
+
+def _representatives(spark, d):
+    docs = stage(fx.versions(spark, d).select("id", "extracted_text"), "versions")
+    return stage(similarity.representatives(docs, similarity.text_classes(docs)), "representatives")
+
+
 @query(f"WITH {fx.VERSIONS_SQL}, {CANDIDATES} SELECT * FROM cand")
 def lsh_candidates(spark, d):
-    return similarity.candidate_pairs(fx.versions(spark, d))
+    return similarity.candidate_pairs(_representatives(spark, d))
 
 
 @query(f"""WITH {fx.VERSIONS_SQL}, {CANDIDATES}, ds AS (SELECT DISTINCT id, s FROM sh), n AS (SELECT id, count(*) AS n FROM ds GROUP BY id),
 both_ AS (SELECT doc_id_a, doc_id_b, count(y.s) AS both_n FROM cand JOIN ds x ON x.id = doc_id_a LEFT JOIN ds y ON y.id = doc_id_b AND y.s = x.s GROUP BY ALL)
 SELECT doc_id_a, doc_id_b, both_n / (a.n + b.n - both_n) AS jaccard FROM both_ JOIN n a ON a.id = doc_id_a JOIN n b ON b.id = doc_id_b""")
 def jaccard_exact(spark, d):
-    docs = fx.versions(spark, d)
+    docs = _representatives(spark, d)
     pairs = similarity.with_texts(similarity.candidate_pairs(docs), docs)
     own = lambda c: text.clean_words(text.clean_text(F.col(c)))
     rows = pairs.select("doc_id_a", "doc_id_b", own("raw_a").alias("a"), own("raw_b").alias("b"))
@@ -327,7 +343,7 @@ com AS (SELECT doc_id_a, doc_id_b, count(*) AS n_segments, CAST(sum(n) + count(*
 
 @query(f"WITH {fx.VERSIONS_SQL}, {CANDIDATES}, {RUNS} SELECT doc_id_a, doc_id_b, coalesce(n_segments, 0) AS n_segments, coalesce(common_len, 0) AS common_len FROM pk LEFT JOIN com USING (doc_id_a, doc_id_b)")
 def common_segments(spark, d):
-    docs = fx.versions(spark, d)
+    docs = _representatives(spark, d)
     pairs = similarity.with_texts(similarity.candidate_pairs(docs), docs)
     own = lambda c, n: text.strip_markers(F.col(c)).alias(n)
     return similarity.common_segments(pairs.select("doc_id_a", "doc_id_b", own("raw_a", "a_text"), own("raw_b", "b_text")))
@@ -340,65 +356,89 @@ ver AS (SELECT doc_id_a, doc_id_b, common_len / greatest(length(raw_a), length(r
 
 @query(f"WITH {fx.VERSIONS_SQL}, {VERIFIED} SELECT * FROM ver")
 def verified_pairs(spark, d):
-    docs = fx.versions(spark, d)
+    docs = _representatives(spark, d)
     return similarity.verified_pairs(similarity.candidate_pairs(docs), docs)
 
 
 # --- groups ------------------------------------------------------------------------------------
 
 
-@query(f"""WITH RECURSIVE {fx.VERSIONS_SQL}, {CANDIDATES}, ed AS (SELECT doc_id_a AS x, doc_id_b AS y FROM cand UNION SELECT doc_id_b, doc_id_a FROM cand),
+@query(f"""WITH {fx.VERSIONS_SQL}, {CANDIDATES}, {RUNS}, mb0 AS (SELECT min(id) OVER (PARTITION BY extracted_text) AS doc_id_a, id AS doc_id_b, extracted_text AS t FROM v WHERE extracted_text IS NOT NULL),
+ok AS (SELECT DISTINCT id FROM h), lg AS (SELECT doc_id_a, doc_id_b, length({_strip('t')}) AS common_len, greatest(length(t), 1) AS longest FROM mb0
+       SEMI JOIN (SELECT id AS doc_id_a FROM mk WHERE masked) USING (doc_id_a) SEMI JOIN (SELECT id AS doc_id_a FROM ok) USING (doc_id_a) WHERE doc_id_a <> doc_id_b)
+SELECT doc_id_a, doc_id_b, common_len / longest AS similarity, common_len FROM lg WHERE common_len > 500""")
+def verified_copies(spark, d):
+    docs = stage(fx.versions(spark, d).select("id", "extracted_text"), "versions")
+    return similarity.verified_copies(docs, stage(similarity.text_classes(docs), "classes"))
+
+
+@query(f"""WITH RECURSIVE {fx.VERSIONS_SQL}, {CANDIDATES}, e0 AS (SELECT doc_id_a AS x, doc_id_b AS y FROM cand UNION SELECT rp.id, v.id FROM rp JOIN v ON v.extracted_text = rp.extracted_text AND v.id <> rp.id),
+ed AS (SELECT x, y FROM e0 UNION SELECT y, x FROM e0),
 r(x, y) AS (SELECT x, x FROM ed UNION SELECT r.x, ed.y FROM r JOIN ed ON ed.x = r.y) SELECT x AS doc_id, min(y) AS group_id FROM r GROUP BY x""")
 def components(spark, d):
-    return grouping.string_components(stage(similarity.candidate_pairs(fx.versions(spark, d)), "candidates"))
+    docs = stage(fx.versions(spark, d).select("id", "extracted_text"), "versions")
+    classes = stage(similarity.text_classes(docs), "classes")
+    copies = classes.where("id != class_id").select(F.col("class_id").alias("doc_id_a"), F.col("id").alias("doc_id_b"))
+    return grouping.string_components(stage(similarity.candidate_pairs(similarity.representatives(docs, classes)).unionByName(copies), "candidates"))
 
 
-PAIRS_SQL = "pr0 AS (SELECT CAST(o_orderkey AS VARCHAR) AS doc_id_a, CAST(o_orderkey + 3 AS VARCHAR) AS doc_id_b FROM orders WHERE o_orderkey % 4 = 0)"
+PAIRS_SQL = "pr0 AS (SELECT CAST(o_orderkey AS VARCHAR) AS doc_id_a, CAST(o_orderkey + 3 AS VARCHAR) AS doc_id_b FROM orders)"
 
 
 @query(f"""WITH {fx.MEMBERS_SQL}, {PAIRS_SQL} SELECT doc_id_a, doc_id_b, a.group_id AS group_a, b.group_id AS group_b FROM pr0 LEFT JOIN mb a ON a.doc_id = doc_id_a
 LEFT JOIN mb b ON b.doc_id = doc_id_b WHERE a.group_id IS NULL OR b.group_id IS NULL OR a.group_id <> b.group_id""")
 def cross_group_pairs(spark, d):
     k = F.col("o_orderkey")
-    pairs = read(spark, d, "orders").where(k % 4 == 0).select(k.cast("string").alias("doc_id_a"), (k + 3).cast("string").alias("doc_id_b"))
+    pairs = read(spark, d, "orders").select(k.cast("string").alias("doc_id_a"), (k + 3).cast("string").alias("doc_id_b"))
     return grouping.cross_group_pairs(pairs, fx.members(spark, d)).select("doc_id_a", "doc_id_b", "group_a", "group_b")
 
 
-def _grouped(spark, d, settings=DEFAULTS):
-    """Versions of all documents, their groups by verified pairs, and the verified pairs across groups."""
-    docs = stage(fx.versions(spark, d, whole=True), "versions")
-    prints = stage(minhash.fingerprints(docs, settings), "prints")
-    pairs = similarity.lsh_candidates(prints, settings, similarity.redacted(docs, settings).select("id"))
-    edges = stage(similarity.verified_pairs(pairs, docs), "verified")
-    return docs, *grouping.group_documents(edges, prints, settings)
-
-
 @query()
 def split_groups(spark, d):
-    docs = fx.versions(spark, d, whole=True)
+    docs = fx.versions(spark, d)
     members = docs.select((F.col("doc_id") % 2).cast("string").alias("group_id"), F.col("id").alias("doc_id"))
     small = DEFAULTS.__class__(split_above=20)
     return grouping.split_groups(members, stage(minhash.fingerprints(docs), "prints"), small)
 
 
+def _corpus(spark, d):
+    """Versions of all documents, and e-mails."""
+    return fx.versions(spark, d).select("id", "extracted_text").unionByName(fx.emails(spark, d).select(F.concat(F.lit("e"), "id").alias("id"), "extracted_text"))
+
+
 @query()
 def merge_groups(spark, d):
-    docs, members, _ = _grouped(spark, d)
-    return merge.merge_groups(members, docs).drop("recovered_segments")
+    return cycle.run_cycle(fx.versions(spark, d)).results.drop("recovered_segments")
 
 
 @query()
 def cross_group_merge(spark, d):
     # Groups above two members are split, so that verified pairs cross groups in inputs of any size.
-    docs, members, pairs = _grouped(spark, d, DEFAULTS.__class__(split_above=2))
-    results = stage(merge.merge_groups(members, docs), "results")
-    return merge.cross_group_merge(pairs.select("doc_id_a", "doc_id_b", "group_a", "group_b"), docs, results).drop("recovered_segments")
+    found = cycle.run_cycle(fx.versions(spark, d), DEFAULTS.__class__(split_above=2))
+    stages = F.transform("recovered_segments", lambda s: s["stage"])
+    return found.results.where(F.exists(stages, lambda x: x.startswith("cross_group"))).drop("recovered_segments")
 
 
 @query()
 def annotated_outputs(spark, d):
-    docs, members, _ = _grouped(spark, d)
-    return report.annotated(merge.merge_groups(members, docs)).select("group_id", "base_id", F.size("spans").alias("n_spans"))
+    return cycle.run_cycle(fx.versions(spark, d)).outputs().select("group_id", "base_id", F.size("spans").alias("n_spans"))
+
+
+@query()
+def whole_cycle(spark, d):
+    """E-mails and versions of documents through all stages: each document's group, and what its merge recovered."""
+    found = cycle.run_cycle(_corpus(spark, d))
+    return found.members.join(found.results.select("group_id", "recovered_count", "total_redacted", "reverse_merge"), "group_id", "left")
+
+
+@query()
+def remerged_results(spark, d):
+    """After the labelled documents have lost their masks, their groups are merged anew."""
+    found = cycle.run_cycle(fx.versions(spark, d))
+    labelled = read(spark, d, "labels").select((F.col("doc_id") * 2).cast("string").alias("id")).distinct()
+    known = found.documents.join(labelled.withColumn("changed", F.lit(True)), "id", "left")
+    docs = stage(known.select("id", F.when(F.col("changed"), F.replace("extracted_text", F.lit("[REDACTED]"), F.lit("known"))).otherwise(F.col("extracted_text")).alias("extracted_text")), "changed")
+    return cycle.remerge(found, docs, labelled).drop("recovered_segments")
 
 
 SEGMENTS_SQL = "sg AS (SELECT CAST(l_orderkey % 200 AS VARCHAR) AS group_id, CASE WHEN l_linenumber % 2 = 0 THEN 'A' ELSE 'a' END || CAST(l_suppkey AS VARCHAR) || '@' || l_returnflag || '.example.com' AS text, l_orderkey * 10 + l_linenumber AS place FROM lineitem)"
@@ -434,12 +474,16 @@ def entities_full(spark, d):
 
 AGGREGATED = f"""{SEGMENTS_SQL}, fm AS (SELECT lower(text) AS normal, text, count(*) AS n, min((group_id, place)) AS first FROM sg GROUP BY ALL),
 tot AS (SELECT lower(text) AS normal, count(*) AS n, list_sort(list(DISTINCT group_id)) AS group_ids FROM sg GROUP BY 1),
-ag AS (SELECT 'email' AS category, normal, (SELECT text FROM fm WHERE fm.normal = tot.normal ORDER BY fm.n DESC, first LIMIT 1) AS text, n AS count, array_to_string(group_ids, ',') AS group_ids FROM tot)"""
+ag AS (SELECT 'email' AS category, normal, (SELECT text FROM fm WHERE fm.normal = tot.normal ORDER BY fm.n DESC, first LIMIT 1) AS text, n AS count,
+       len(group_ids) AS n_groups, array_to_string(group_ids[1:10], ',') AS group_ids FROM tot)"""
+
+
+def _found(spark, d):
+    return _segments(spark, d).select("group_id", F.col("place").cast("bigint").alias("place"), F.lit(0).cast("bigint").alias("nth"), "text", F.lit("email").alias("category"))
 
 
 def _aggregated(spark, d):
-    found = _segments(spark, d).select("group_id", F.col("place").cast("bigint").alias("place"), F.lit(0).cast("bigint").alias("nth"), "text", F.lit("email").alias("category"))
-    return entities.aggregate_entities(found).withColumn("group_ids", F.array_join("group_ids", ","))
+    return entities.aggregate_entities(_found(spark, d)).withColumn("group_ids", F.array_join("group_ids", ","))
 
 
 @query(f"WITH {AGGREGATED} SELECT * FROM ag")
@@ -447,6 +491,11 @@ def entity_aggregate(spark, d):
     return _aggregated(spark, d)
 
 
+@query(f"WITH {SEGMENTS_SQL} SELECT DISTINCT 'email' AS category, lower(text) AS normal, group_id FROM sg")
+def entity_groups(spark, d):
+    return entities.entity_groups(_found(spark, d))
+
+
 @query(f"WITH {AGGREGATED} SELECT * FROM ag ORDER BY count DESC, text, category, normal LIMIT 20")
 def top_entities(spark, d):
     return entities.top_entities(_aggregated(spark, d))
@@ -488,16 +537,15 @@ def priority_dequeue(spark, d):
     return state.dequeue(fx.jobs(spark, d))
 
 
-@query(f"""WITH {fx.STATE_SQL}, n AS (SELECT id, release_batch || '-new' AS release_batch, 'fresh' AS extracted_text FROM st WHERE CAST(id AS BIGINT) % 3 <> 1
-UNION ALL SELECT 'x' || id, release_batch, extracted_text FROM st WHERE CAST(id AS BIGINT) % 10 = 0)
+@query(f"""WITH {fx.STATE_SQL}, n AS (SELECT id, release_batch || '-new' AS release_batch, 'fresh' AS extracted_text FROM st WHERE release_batch <> 'src1'
+UNION ALL SELECT 'x' || id, release_batch, extracted_text FROM st WHERE release_batch = 'src2')
 SELECT coalesce(st.id, n.id) AS id, CASE WHEN st.id IS NOT NULL AND (n.id IS NULL OR text_processed OR pdf_processed) THEN st.release_batch ELSE n.release_batch END AS release_batch,
 md5(coalesce(CASE WHEN st.id IS NOT NULL AND (n.id IS NULL OR text_processed OR pdf_processed) THEN st.extracted_text ELSE n.extracted_text END, '?')) AS text_md5,
 coalesce(text_processed, false) AS text_processed, coalesce(pdf_processed, false) AS pdf_processed FROM st FULL JOIN n ON st.id = n.id""")
 def upsert_documents(spark, d):
     old = fx.state(spark, d).select("id", "release_batch", "extracted_text", "text_processed", "pdf_processed")
-    k = F.col("id").cast("bigint")
-    new = old.where(k % 3 != 1).select("id", F.concat("release_batch", F.lit("-new")).alias("release_batch"), F.lit("fresh").alias("extracted_text"))
-    new = new.unionByName(old.where(k % 10 == 0).select(F.concat(F.lit("x"), "id").alias("id"), "release_batch", "extracted_text"))
+    new = old.where("release_batch != 'src1'").select("id", F.concat("release_batch", F.lit("-new")).alias("release_batch"), F.lit("fresh").alias("extracted_text"))
+    new = new.unionByName(old.where("release_batch = 'src2'").select(F.concat(F.lit("x"), "id").alias("id"), "release_batch", "extracted_text"))
     return state.upsert_documents(old, new).withColumn("text_md5", F.md5(F.coalesce("extracted_text", F.lit("?")))).drop("extracted_text")
 
 
@@ -581,10 +629,10 @@ def ordered_lookup(spark, d):
     return state.in_order(ids, fx.documents(spark, d)).select("pos", "id")
 
 
-@query(f"WITH {fx.MEMBERS_SQL} SELECT DISTINCT group_id FROM mb WHERE CAST(doc_id AS BIGINT) % 50 = 0")
+@query(f"WITH {fx.MEMBERS_SQL} SELECT DISTINCT group_id FROM mb SEMI JOIN (SELECT CAST(o_orderkey AS VARCHAR) AS doc_id FROM orders WHERE o_orderpriority = '1-URGENT') USING (doc_id)")
 def remerge_requests(spark, d):
-    members = fx.members(spark, d)
-    return state.groups_to_remerge(members, members.where(F.col("doc_id").cast("bigint") % 50 == 0).select(F.col("doc_id").alias("id")))
+    changed = read(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").cast("string").alias("id"))
+    return state.groups_to_remerge(fx.members(spark, d), changed)
 
 
 @query("""SELECT c_custkey AS group_id, CASE WHEN c_custkey % 3 = 0 THEN 'VOL0000' || CAST(c_custkey % 10 AS VARCHAR) ELSE 'other' END AS release_batch, r_name AS label

@@ -24,6 +24,29 @@ def test_ids_are_those_of_the_other_library(pair, text):
     assert own.decode(ids).decode() == text
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(max_size=60) | st.text(alphabet="ab the ing's\n\t éß東👍👩‍👩‍👧0१", max_size=60), max_size=6))
+def test_offsets_are_the_librarys(pair, texts):
+    own = pair[0]
+    cuts, ids, starts, ends = own.encode_with_offsets(texts)
+    for k, e in enumerate(own.tokenizer.encode_batch(texts, add_special_tokens=False)):
+        part = slice(cuts[k], cuts[k + 1])
+        assert ids[part].tolist() == e.ids
+        assert list(zip(starts[part].tolist(), ends[part].tolist())) == e.offsets
+
+
+def test_decoding_of_odd_rows(spark, documents):
+    rows = spark.createDataFrame([(1, None), (2, []), (3, [64])], "doc_id long, ids array<int>")
+    got = {r.doc_id: r.text for r in bpe.decode(rows).collect()}
+    assert got == {1: "", 2: "", 3: bpe.token_bytes(bpe.defaults()[0])[64].decode()}
+    split = bpe.codec(*bpe.defaults()).encode(["\U0001f44d\U0001f3fd"])[0]
+    assert len(split) > 2  # characters are split between ids
+    with pytest.raises(Exception, match="(?i)utf"):
+        bpe.decode(spark.createDataFrame([(1, split[:1])], rows.schema)).collect()
+    with pytest.raises(Exception, match="vocabulary|bounds"):
+        bpe.decode(spark.createDataFrame([(1, [10_000_000])], rows.schema)).collect()
+
+
 def test_queries_and_edge_cases(spark, documents, pair):
     texts = [None, "", "héllo wörld 東京 👍👍", "x" * 50000 + " y" * 50000, "a", "a"]
     docs = documents(list(enumerate(texts))).withColumnRenamed("lang", "ids")

@@ -21,12 +21,12 @@ def quality(docs):
         texts[d["source"]].add(d["text"])
         for x in lines(d["text"]):
             having[d["source"], x].add(d["text"])
-    bad = {k for k, v in having.items() if len(v) > 20 and 100 * len(v) > len(texts[k[0]])}
+    bad = {k for k, v in having.items() if len(v) > 20 or len(v) >= 5 and 100 * len(v) > len(texts[k[0]])}
     out = {}
     for d in docs:
         n, *_, failed = plain_measures(d["text"])
         gone = sum(len(x.split()) for x in lines(d["text"]) if (d["source"], x) in bad)
-        if not failed and 100 * (n - gone) >= 30 * n:
+        if not failed and 100 * (n - gone) >= 70 * n:
             out[d["doc_id"]] = "\n".join(x for x in d["text"].split("\n") if (d["source"], " ".join(x.split()).lower()) not in bad)
     return out
 

@@ -47,18 +47,39 @@ def body(i, n=60):
 
 
 def test_boilerplate_goes_and_depleted_documents_too(spark, documents):
-    menu = "Home About  Contact " * 10
+    menu = "Home About  Contact " * 5
     rows = [(i, f"{menu}\n{body(i)}", "h") for i in range(30)]
-    rows += [(100, menu.lower() + "\n" + " ".join(["home about contact"] * 10) + "\n" + body(1, 22), "h")]
+    rows += [(100, menu.lower() + "\n" + " ".join(["home about contact"] * 5) + "\n" + body(1, 50), "h")]
     rows += [(200, f"{menu}\n{body(1)}", "other"), (300, body(2) + "\n" + body(3), None)]
     got = {r.doc_id: r for r in q.judge(documents(rows)).collect()}
-    assert got[0].removed_words == 30 and got[200].removed_words == 0
+    assert got[0].removed_words == 15 and got[200].removed_words == 0
     assert got[200].kept and got[300].kept and all(got[i].kept for i in range(30))
-    assert got[100].removed_words == 60 and not got[100].kept
-    cleaned = q.clean(documents(rows).withColumnRenamed("lang", "line_keys2"))
-    texts = {r.doc_id: r for r in cleaned.collect()}
-    assert texts[5].text == body(5) and texts[5].n_chars == len(body(5))
-    assert texts[200].text == rows[31][1] and 100 not in texts
+    assert got[100].removed_words == 30 and not got[100].kept and not got[100].base_failed
+    for name in ("line_keys", "uid", "kept_uid", "KEPT_ID", "removed_words"):
+        own = documents(rows).withColumnRenamed("lang", name)
+        cleaned = q.clean(own)
+        assert cleaned.columns == own.columns
+        texts = {r.doc_id: r for r in cleaned.collect()}
+        assert texts[5].text == body(5) and texts[5].n_chars == len(body(5)) and texts[5][name] == "en"
+        assert texts[200].text == rows[31][1] and 100 not in texts
+
+
+def test_depleted_documents_are_rejected_in_hosts_of_any_size(spark, documents):
+    """A page of menu lines with a few words of its own, in a host of 12 documents, of 120 and of 2,400."""
+    rows, planted = [], []
+    for host, n in (("small", 12), ("middle", 120), ("large", 2400)):
+        lines = [f"{host} menu line {k} " + " ".join(f"entry{k}x{j}" for j in range(12)) for k in range(4)]
+        # Held by 8 documents of the small host and the middle one, and by 1 in 100 of the large one.
+        holders = 8 if n < 1000 else n // 100
+        for i in range(n):
+            own = lines[i % 4] + "\n" if i < 4 * holders and n >= 4 * holders else (lines[i % 4] + "\n" if i < holders else "")
+            rows.append((len(rows), own + body(len(rows)), host))
+        for k in range(6):
+            planted.append(len(rows))
+            rows.append((len(rows), "\n".join(lines) + "\n" + body(len(rows), 40), host))
+    got = {r.doc_id: r for r in q.judge(documents(rows)).collect()}
+    assert not any(got[i].kept or got[i].base_failed for i in planted)
+    assert all(got[i].kept for i, *_ in rows if i not in planted)
 
 
 def test_copies_count_once(spark, documents):

@@ -58,10 +58,10 @@ def test_entities():
 
 
 def test_other_entities_and_summary(spark):
-    seg = "array<struct<text:string,source_doc_id:string,stage:string,confidence:string,anchor_alpha_len:bigint>>"
+    seg = "array<struct<text:string,source_doc_id:string,stage:string,confidence:string,anchor_alpha_len:bigint,start:bigint>>"
     rows = [
-        ("1", "see Ada Byron and words", 1, 1, ["d"], [("Ada Byron", "e", "merge", "high", 9), ("plain text here", "e", "alignment", "questionable", 0)]),
-        ("2", "Mr. Ada Byron", 1, 1, ["f"], [("ada byron or Ada Byron", "g", "merge", "high", 9), ("blacked out words", "g", "merge", "high", 9)]),
+        ("1", "see Ada Byron and words", 1, 1, ["d"], [("Ada Byron", "e", "merge", "high", 9, 4), ("plain text here", "e", "alignment", "questionable", 0, 18)]),
+        ("2", "Mr. Ada Byron", 1, 1, ["f"], [("ada byron or Ada Byron", "g", "merge", "high", 9, 0), ("blacked out words", "g", "merge", "high", 9, 30)]),
         ("3", "none", 0, 1, ["h"], []),
     ]
     results = spark.createDataFrame(rows, f"group_id string, merged_text string, recovered_count bigint, total_redacted bigint, source_doc_ids array<string>, recovered_segments {seg}")
@@ -69,7 +69,7 @@ def test_other_entities_and_summary(spark):
     assert shown == {("people", "Ada Byron"): (2, ["1", "2"]), ("other", "plain text here"): (1, ["1"])}
     assert {r.text for r in report.summary(results).collect()} == {"A…9", "p…15"}
     spans = {r.group_id: [(s.start, s.length, s.label) for s in r.spans] for r in report.annotated(results).collect()}
-    assert spans == {"1": [(4, 9, "recovered")], "2": []}
+    assert spans == {"1": [(4, 9, "recovered"), (18, 15, "questionable")], "2": [(0, 22, "recovered"), (30, 17, "recovered")]}
     assert {r.group_id: r.methods for r in report.methods(results).collect()} == {"1": "alignment, merge", "2": "merge"}
 
 

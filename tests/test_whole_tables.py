@@ -13,7 +13,7 @@ def short_documents(spark, tmp_path):
 
 
 def test_versions_of_every_document(spark, short_documents):
-    got = {r.id for r in fixtures.versions(spark, short_documents, whole=True).collect()}
+    got = {r.id for r in fixtures.versions(spark, short_documents).collect()}
     assert got == {str(i) for i in range(2, 12)}
 
 
