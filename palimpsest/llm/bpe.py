@@ -179,8 +179,11 @@ def decode(encoded: DataFrame, path: str | None = None, also: tuple[str, ...] =
 
 
 def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """doc_id, n_tokens and digests of the ids and of the text that they decode to: what ``encode``, offsets included, and ``decode`` give."""
-    back = decode(encode(docs, path, pattern), path, ("ids", "starts", "ends"))
+    """doc_id, n_tokens and digests of the ids and of the text that they decode to: what ``encode``, offsets included, and ``decode`` give.
+
+    The ids go along through the decoding, the offsets end with the encoding that made them.
+    """
+    back = decode(encode(docs, path, pattern), path, ("ids",))
     return back.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("text", 256).alias("decoded_sha256"),
