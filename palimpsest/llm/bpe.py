@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RANKS = "byte_bpe_50k.tiktoken"
-#: Bytes of text that are encoded at once.
-TOGETHER = 1 << 18
+#: Characters of text that are encoded at once, and ids that are decoded at once; a longer text or list is alone.
+TOGETHER, DECODED = 1 << 18, 1 << 18
 
 
 def byte_characters() -> dict[int, str]:
@@ -140,6 +140,15 @@ def _groups(column: pa.Array) -> Iterator[list[str]]:
         yield group
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in slices of a bounded number of ids."""
+    ends, at = np.cumsum(pc.fill_null(pc.list_value_length(batch["ids"]), 0).to_numpy(zero_copy_only=False)), 0
+    while at < len(ends):
+        after = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + DECODED, side="right")))
+        yield batch.slice(at, after - at)
+        at = after
+
+
 def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """doc_id, ids and, for each id, the first character of the text it covers and the one after the last."""
     p, q = (path or defaults()[0]), (pattern or defaults()[1])
@@ -165,7 +174,7 @@ def decode(encoded: DataFrame, path: str | None = None, also: tuple[str, ...] =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = token_array(p)
-        for b in batches:
+        for b in (part for batch in batches for part in _slices(batch)):
             lists = pa.array([x or [] for x in b["ids"].to_pylist()], b["ids"].type) if b["ids"].null_count else b["ids"]
             # The bytes of all ids in a row are the texts' bytes in a row; ids outside the vocabulary raise.
             taken = known.take(lists.flatten())

@@ -75,3 +75,16 @@ def test_query_runs_encode_and_decode(spark, documents, monkeypatch):
     assert seen == ["encode", ["doc_id", "ids", "starts", "ends"]]
     expect = hashlib.sha256("h\u00e9llo \U0001f44d".encode()).hexdigest()
     assert sorted((r.doc_id or 0, r.decoded_sha256 == expect) for r in rows) == [(0, False), (1, True), (1, True)]
+
+
+def test_decoding_in_slices(spark, documents, monkeypatch):
+    """Slices hold every row once and in order, and a list beyond the bound is alone."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(bpe, "DECODED", 5)
+    lists = [[1] * n for n in (2, 3, 0, 9, 0, 5, 1, 4, 6)]
+    batch = pa.RecordBatch.from_pydict({"ids": pa.array([*lists, None], pa.list_(pa.int32()))})
+    sizes = [[len(x or []) for x in part["ids"].to_pylist()] for part in bpe._slices(batch)]
+    assert [n for part in sizes for n in part] == [*map(len, lists), 0]
+    assert all(sum(part) <= 5 or len(part) == 1 for part in sizes)
+    assert list(bpe._slices(batch.slice(0, 0))) == []
