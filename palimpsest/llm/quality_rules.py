@@ -109,7 +109,8 @@ def removed_lines(docs: DataFrame, bad: DataFrame) -> DataFrame:
 def judge(docs: DataFrame, bad: DataFrame | None = None) -> DataFrame:
     """One row for each row: uid, doc_id, the measures, removed_words, base_failed, kept, line_keys (lines to remove)."""
     bad = boilerplate(docs) if bad is None else bad
-    rows = measures(docs).join(removed_lines(docs, bad), "uid", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0).cast("long")))
+    # Written first: Spark would push a caller's filter on ``kept`` into the measures, and sort each text's windows once for each window.
+    rows = stage(measures(docs), "measures").join(removed_lines(docs, bad), "uid", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0).cast("long")))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
     depleted = 100 * (F.col("n_words") - F.col("removed_words")) < MIN_LEFT * F.col("n_words")
     return rows.select(
