@@ -11,11 +11,12 @@ others: at a table of the word with weight c - d t, or at a new one with weight
 (theta + d T) times the parent's probability of the word.  Only the numbers c of
 customers and t of tables are kept: given these, the chance that the customer
 taken out sat alone is a ratio of generalised Stirling numbers (``alone``).  A
-sweep visits every cell ``VISITS`` times, all cells of a restaurant side by side
-with the table counts of the last visit.  The chain starts from a seating of the
-customers in turn (``seat``); after ``BURN`` sweeps the tables expected of each
-visit of ``KEEP`` sweeps, given all other customers, are averaged, and with them the
-predictive probabilities, which are linear in them.
+sweep visits every cell as many times as it has customers: in rounds, in which the
+cells with customers to come are visited side by side with the table counts of the
+last round, and, when these are few, one customer after the other (``in_turn``).  The
+chain starts from a seating of the customers in turn (``seat``); after ``BURN`` sweeps
+the tables expected of each visit of ``KEEP`` sweeps, given all other customers, are
+averaged, and with them the predictive probabilities, which are linear in them.
 
 Distribution.  Texts are read in blocks.  A first exchange gives every word a
 number, small for frequent words, and its count.  Then a block's distinct pairs of
@@ -52,7 +53,9 @@ from palimpsest.staging import drop, stage
 FOLDS, HELD_OUT = 5, 1
 #: Discount and strength of the parent and of the contexts.
 PARENT, CONTEXT = (0.8, 5.0), (0.8, 1.0)
-BURN, KEEP, VISITS = 2, 4, 3
+BURN, KEEP = 2, 4
+#: Cells from which on a round visits them side by side, and table counts for which chances are held ready.
+SIDE, AHEAD = 48, 1024
 #: Averaged tables are told in this part of a table.
 UNITS = 64
 #: Customers up to which the chance to sit alone is tabulated.
@@ -332,6 +335,40 @@ def visit(customers: np.ndarray, tables: np.ndarray, discount: float, weight, rn
     return gone, rng.random(len(customers)) < opens(customers, tables - gone, discount, weight(gone))
 
 
+def in_turn(visits: int, customers: int, tables: int, discount: float, weight, rng: np.random.Generator) -> tuple[int, float]:
+    """Visit one cell so many times: its tables after that, and the sum of the tables expected at each visit.
+
+    ``weight``: from whether a table goes, and by how many tables the cell has grown, to the weight of a new one.
+    """
+    start, kept, low, chances = tables, 0.0, 0, []
+    for first in range(0, visits, AHEAD):
+        m = min(AHEAD, visits - first)
+        if not low <= tables - m <= tables + m < low + len(chances):
+            low = max(tables - 2 * AHEAD, 0)
+            t = np.arange(low, tables + 2 * AHEAD + 1)
+            chances = alone(np.full(len(t), customers), np.clip(t, 1, customers), discount).tolist()
+        for x, y in zip(rng.random(m).tolist(), rng.random(m).tolist()):
+            gone = x < chances[tables - low]
+            a, left = weight(gone, tables - start), tables - gone
+            p = a / (a + customers - 1 - discount * left)
+            kept += left + p
+            tables = left + (y < p)
+    return tables, kept
+
+
+class Rounds:
+    """The order of a sweep's visits to cells of these customers."""
+
+    def __init__(self, customers: np.ndarray):
+        self.order = np.argsort(-customers, kind="stable")
+        ascending = np.sort(customers)
+        live = len(customers) - np.searchsorted(ascending, np.arange(ascending[-SIDE] if len(customers) >= SIDE else 0), side="right")
+        #: Cells of each round, the first in ``order``; rounds go on while there are ``SIDE`` cells with customers to come.
+        self.live = live.tolist()
+        #: Cells with more customers than rounds, and the visits that they still get.
+        self.rest = [(i, n) for i, n in zip(self.order.tolist(), (customers[self.order] - len(live)).tolist()[: SIDE]) if n > 0]
+
+
 class Pairs:
     """The cells of one owner, from the questions of all blocks."""
 
@@ -383,19 +420,44 @@ class Pairs:
         own = np.bincount(self.word, self.count, len(self.words))
         at = np.minimum(np.searchsorted(self.contexts, self.words), len(self.contexts) - 1)
         share = (np.where(self.contexts[at] == self.words, self.totals[at], own) / np.maximum(own, 1))[word]
-        whole, unseen = self.totals.sum() / max(own.sum(), 1), (s0 + d0 * (1 / base - 1)) * base
+        whole, unseen = float(self.totals.sum() / max(own.sum(), 1)), (s0 + d0 * (1 / base - 1)) * base
         up, held = self.summed(np.ones(len(cell), np.int64))
-        weight = lambda gone: (s + d * (held[context] * scale - gone)) * (np.maximum(up[word] * share - gone - d0, 0) + unseen) / (s0 + whole * up.sum())
-        t = seat(c, weight(0), d, rng).astype(np.int64)
-        kept = np.zeros(len(cell))
+        first = (s + d * held[context] * scale) * (np.maximum(up[word] * share - d0, 0) + unseen) / (s0 + whole * up.sum())
+        t, kept, rounds = seat(c, first, d, rng).astype(np.int64), np.zeros(len(cell)), Rounds(c)
+        # What a round needs of its cells, in the order of visits.
+        order, size = rounds.order, c[rounds.order]
+        room, dish, scale, share = context[order], word[order], scale[order], share[order]
+        t = t[order]
         for k in range(BURN + KEEP):
-            for _ in range(VISITS):
-                up, held = self.summed(t)
-                gone, new = visit(c, t, d, weight, rng)
+            back = np.empty_like(t)
+            back[order] = t
+            up, held = self.summed(back)
+            total = int(up.sum())
+            for n in rounds.live:
+                u, w = room[:n], dish[:n]
+                weight = lambda gone: (s + d * (held[u] * scale[:n] - gone)) * (np.maximum(up[w] * share[:n] - gone - d0, 0) + unseen) / (s0 + whole * total)  # noqa: B023, E731
+                gone, new = visit(size[:n], t[:n], d, weight, rng)
+                if k >= BURN:
+                    left = t[:n] - gone
+                    kept[:n] += (left + opens(size[:n], left, d, weight(gone))) / size[:n]
+                moved = np.flatnonzero(gone != new)
+                by = new[moved].astype(np.int64) - gone[moved]
+                t[moved] += by
+                np.add.at(up, w[moved], by)
+                np.add.at(held, u[moved], by)
+                total += int(by.sum())
+            for i, (_, n) in enumerate(rounds.rest):
+                u, w, f, g = int(room[i]), int(dish[i]), float(scale[i]), float(share[i])
+                h, v, all_ = int(held[u]), int(up[w]), total
+                one = lambda gone, more: (s + d * ((h + more) * f - gone)) * (max((v + more) * g - gone - d0, 0) + unseen) / (s0 + whole * (all_ + more))  # noqa: B023, E731
+                now, tables = in_turn(n, int(size[i]), int(t[i]), d, one, rng)
                 if k >= BURN:
-                    kept += t - gone + opens(c, t - gone, d, weight(gone))
-                t += new.astype(np.int64) - gone
-        return np.rint(kept * (UNITS / (KEEP * VISITS))).astype(np.int64)
+                    kept[i] += tables / size[i]
+                by = now - int(t[i])
+                t[i], held[u], up[w], total = now, h + by, v + by, total + by
+        back = np.empty_like(kept)
+        back[order] = kept
+        return np.rint(back * (UNITS / KEEP)).astype(np.int64)
 
     def answers(self, kept: np.ndarray, parent: np.ndarray, held: np.ndarray) -> np.ndarray:
         """The averaged probability of each cell's word: ``parent`` by word, ``held`` tables by context."""
@@ -458,17 +520,29 @@ class Sums:
         cell = np.flatnonzero(self.customers > 1)
         c, t = self.customers[cell], np.minimum(self.customers, 1).astype(np.float64)
         single = int(t.sum()) - len(cell)
-        own = seat(c, np.full(len(c), (s + d * scale * (single + len(cell))) * base), d, rng)
+        rounds = Rounds(c)
+        size = c[rounds.order]
+        own = seat(size, np.full(len(c), (s + d * scale * (single + len(cell))) * base), d, rng).astype(np.int64)
         kept = np.zeros(len(cell))
         for k in range(BURN + KEEP):
-            for _ in range(VISITS):
-                all_tables = scale * (single + own.sum())
-                gone, new = visit(c, own, d, lambda gone: (s + d * (all_tables - gone)) * base, rng)
+            total = single + int(own.sum())
+            for n in rounds.live:
+                weight = lambda gone: (s + d * (scale * total - gone)) * base  # noqa: B023, E731
+                gone, new = visit(size[:n], own[:n], d, weight, rng)
+                if k >= BURN:
+                    left = own[:n] - gone
+                    kept[:n] += (left + opens(size[:n], left, d, weight(gone))) / size[:n]
+                by = new.astype(np.int64) - gone
+                own[:n] += by
+                total += int(by.sum())
+            for i, (_, n) in enumerate(rounds.rest):
+                all_ = total
+                one = lambda gone, more: (s + d * (scale * (all_ + more) - gone)) * base  # noqa: B023, E731
+                now, tables = in_turn(n, int(size[i]), int(own[i]), d, one, rng)
                 if k >= BURN:
-                    left = own - gone
-                    kept += (left + opens(c, left, d, (s + d * (all_tables - gone)) * base)) / (KEEP * VISITS)
-                own += new.astype(np.float64) - gone
-        t[cell] = kept
+                    kept[i] += tables / size[i]
+                own[i], total = now, all_ + now - int(own[i])
+        t[cell[rounds.order]] = kept / KEEP
         return t
 
 

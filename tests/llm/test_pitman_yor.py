@@ -233,3 +233,50 @@ def test_probabilities_sum_to_one(spark, documents, monkeypatch):
     d, s = hpy.CONTEXT
     for u, c in zip((5, 60, 700), n):
         assert 1 - mass[u] == pytest.approx((s + d * of_context[u]) * other / (s + 2 * c.sum()), abs=1e-5)
+
+
+def own_cells(counts, owner=0):
+    """The cells of one owner that holds all of one context, told by one block."""
+    n = np.array(counts, np.int32)
+    steps = np.diff(np.arange(len(n)) * 2, prepend=0)
+    steps[0] = 0
+    new = np.arange(len(n)) == 0
+    return hpy.Pairs(owner, [(0, hpy._pack(new, np.array([7]), np.array([int(n.sum())]), steps, n))])
+
+
+@pytest.mark.parametrize("side", [1, 4, 10**9])
+def test_a_sweep_seats_every_customer_again(monkeypatch, side):
+    """However many customers a cell has, visited side by side or in turn, in contexts and in the parent."""
+    if hasattr(hpy, "SIDE"):
+        monkeypatch.setattr(hpy, "SIDE", side)
+    visits, counts, visit, in_turn = [], [1500, 1200, 600, 40, 6, 2, 1], hpy.visit, getattr(hpy, "in_turn", None)
+    monkeypatch.setattr(hpy, "visit", lambda c, *a: visits.append(len(c)) or visit(c, *a))
+    monkeypatch.setattr(hpy, "in_turn", lambda n, *a: visits.append(n) or in_turn(n, *a), raising=False)
+    own = own_cells(counts)
+    kept = own.tables(1 / 8)
+    assert sum(visits) == (hpy.BURN + hpy.KEEP) * (sum(counts) - 1)
+    assert (kept >= hpy.UNITS).all() and (kept <= hpy.UNITS * np.array(counts[:-1])).all()
+    sums = hpy.Sums(0, [(0, x) for _, _, x in hpy._sums(own, kept, 1)])
+    visits.clear()
+    tables = sums.tables(1, 1 / 8)
+    assert sum(visits) == (hpy.BURN + hpy.KEEP) * sums.customers[sums.customers > 1].sum()
+    assert (tables >= 1).all() and (tables <= sums.customers).all()
+
+
+def test_visits_in_turn_are_those_side_by_side():
+    rng, d, a = np.random.default_rng(3), 0.7, 1.5
+    for c in (2, 5, 9):
+        ends = [hpy.in_turn(40, c, 1, d, lambda gone, more: a, rng) for _ in range(5000)]
+        weights = np.array([plain_stirling(c, t, d) * a**t for t in range(1, c + 1)])
+        assert np.bincount([t for t, _ in ends], minlength=c + 1)[1:] / 5000 == pytest.approx(weights / weights.sum(), abs=0.03)
+
+
+def test_rounds_visit_each_cell_once_a_customer(monkeypatch):
+    monkeypatch.setattr(hpy, "SIDE", 3)
+    customers = np.array([2, 9, 4, 30, 2, 4])
+    rounds, visits = hpy.Rounds(customers), np.zeros(6, int)
+    for n in rounds.live:
+        visits[rounds.order[:n]] += 1
+    for i, n in rounds.rest:
+        visits[i] += n
+    assert visits.tolist() == customers.tolist()
