@@ -21,7 +21,8 @@ number of rows is in proportion to the bytes.  Strings are compared by two
 
 The pipeline's stage takes out passages of ``PASSAGE`` words, too, which are often shorter
 than its bytes.  A text's words then stand for its bytes, each by a 64-bit digest, and
-lengths, starts and triggers count words; all else is the same.
+lengths, starts and triggers count words; all else is the same.  Both kinds go through the
+same tables, the places of words from ``WORDS_FROM`` on.
 
 Defined cases: a null text counts as empty; texts shorter than ``length`` lose
 nothing; all copies of a repeated string go, the first included; rows that
@@ -51,6 +52,8 @@ STAGE_LENGTH = 400
 PASSAGE = 51
 #: Bytes of a word's digest.
 WORD = 8
+#: Added to places that count words; no place in bytes is as large.
+WORDS_FROM = 1 << 40
 #: Positions among which the trigger of a window is chosen, and bytes of the rolling hash.
 REACH, ROLL = 256, 8
 #: Starts in one part of a phrase that is cut.
@@ -114,8 +117,10 @@ def digests(text: bytes, lo: np.ndarray, hi: np.ndarray, at: np.ndarray, span: i
     all windows of such a phrase share, and that of all bytes that its own windows cover."""
     view, keep, digest = memoryview(text), length - span + 1, xxhash.xxh3_64_intdigest
     lo, hi, at = lo.tolist(), hi.tolist(), at.tolist()
-    shared = np.fromiter((digest(view[a * width : (a + keep) * width]) for a in at), np.uint64, len(at))
-    full = np.fromiter((digest(view[i * width : (j + length) * width], 1 + (a - i << 20) + j - i) for i, j, a in zip(lo, hi, at)), np.uint64, len(at))
+    # Digests of bytes and of words have seeds of their own.
+    shared = np.fromiter((digest(view[a * width : (a + keep) * width], width - 1) for a in at), np.uint64, len(at))
+    kind = 1 + (width - 1 << 50)
+    full = np.fromiter((digest(view[i * width : (j + length) * width], kind + (a - i << 20) + j - i) for i, j, a in zip(lo, hi, at)), np.uint64, len(at))
     return shared.view(np.int64), full.view(np.int64)
 
 
@@ -123,57 +128,69 @@ def _out(parts: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*parts)], list(NAMES))
 
 
-def _parse(length: int, width: int):
-    """(uid, text) to one row for each phrase."""
+def _from(width: int) -> int:
+    """What is added to the places of a kind."""
+    return WORDS_FROM if width == WORD else 0
 
-    def solve(uids: list[int], texts: list[bytes]) -> Iterator[pa.RecordBatch]:
+
+def _parse(kinds: list[tuple[int, int]]):
+    """(uid, text) to one row for each phrase of each kind, which is a length and a width."""
+
+    def solve(uids: list[int], texts: list[bytes], length: int, width: int) -> Iterator[pa.RecordBatch]:
         joined, ends = b"".join(texts), np.cumsum([len(t) // width for t in texts])
         lo, hi, at = phrases(joined, length, ends, width)
         if len(lo):
             shared, full = digests(joined, lo, hi, at, _reach(length, width), length, width)
             owner = np.searchsorted(ends, lo, side="right")
-            base = np.concatenate([[0], ends])[owner]
+            base = np.concatenate([[0], ends])[owner] - _from(width)
             yield _out([(np.array(uids)[owner], lo - base, hi - base, at - base, shared, full)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            uids, texts, size = [], [], 0
-            for uid, text in zip(b["uid"].to_pylist(), b["text"]):
-                text = text.as_py() or b""
-                if width == WORD:
-                    text = word_digests(text)
-                if len(text) < length * width:
-                    continue
-                uids.append(uid)
-                texts.append(text)
-                size += len(text)
-                if size >= TOGETHER:
-                    yield from solve(uids, texts)
-                    uids, texts, size = [], [], 0
-            if uids:
-                yield from solve(uids, texts)
+            for length, width in kinds:
+                uids, texts, size = [], [], 0
+                for uid, text in zip(b["uid"].to_pylist(), b["text"]):
+                    text = text.as_py() or b""
+                    if width == WORD:
+                        text = word_digests(text)
+                    if len(text) < length * width:
+                        continue
+                    uids.append(uid)
+                    texts.append(text)
+                    size += len(text)
+                    if size >= TOGETHER:
+                        yield from solve(uids, texts, length, width)
+                        uids, texts, size = [], [], 0
+                if uids:
+                    yield from solve(uids, texts, length, width)
 
     return run
 
 
-def _cut(length: int, span: int, part: int, width: int):
+def _cut(kinds: list[tuple[int, int]], part: int):
     """Rows with a text and its undecided phrases to one row for each part of those: ``part`` starts, counted from the trigger."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for uid, text, todo in zip(b["uid"].to_pylist(), b["text"], b["todo"]):
-                text, todo = text.as_py(), todo.values
-                if width == WORD:
-                    text = word_digests(text)
-                rows = np.stack([todo.field(c).to_numpy() for c in ("lo", "hi", "at")], axis=1)
+            for uid, raw, todo in zip(b["uid"].to_pylist(), b["text"], b["todo"]):
+                raw, todo = raw.as_py(), todo.values
+                every = np.stack([todo.field(c).to_numpy() for c in ("lo", "hi", "at")], axis=1)
                 parts = []
-                for k in range(-(-span // part)):
-                    at = rows[:, 2] - k * part
-                    lo, hi = np.maximum(rows[:, 0], at - part + 1), np.minimum(rows[:, 1], at)
-                    ok = lo <= hi
-                    if ok.any():
-                        lo, hi, at = lo[ok], hi[ok], at[ok]
-                        parts.append((np.full(len(lo), uid), lo, hi, at, *digests(text, lo, hi, at, part, length, width)))
+                for length, width in kinds:
+                    rows = every[(every[:, 0] >= WORDS_FROM) == (width == WORD)] - _from(width)
+                    if not len(rows):
+                        continue
+                    text = word_digests(raw) if width == WORD else raw
+                    # The first cut is of whole phrases, the second of parts.
+                    span = _reach(length, width) if part == PART else PART
+                    for k in range(-(-span // part)):
+                        at = rows[:, 2] - k * part
+                        lo, hi = np.maximum(rows[:, 0], at - part + 1), np.minimum(rows[:, 1], at)
+                        ok = lo <= hi
+                        if ok.any():
+                            lo, hi, at = lo[ok], hi[ok], at[ok]
+                            places = (x + _from(width) for x in (lo, hi, at))
+                            parts.append((np.full(len(lo), uid), *places, *digests(text, lo, hi, at, part, length, width)))
                 yield _out(parts)
 
     return run
@@ -209,22 +226,27 @@ def _decide(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     return found.where("repeats").select("uid", "lo", "hi"), found.where("open").select("uid", "lo", "hi", "at")
 
 
-def repeats(rows: DataFrame, length: int = LENGTH, width: int = 1) -> DataFrame:
-    """(uid, lo, hi): the windows starting at lo..hi of the text of that uid have an equal one elsewhere; ``rows``: uid, text.
-
-    With a ``width`` of ``WORD`` the windows are of ``length`` words, and lo and hi count words.
-    """
-    found, todo = _decide(_texts(rows).mapInArrow(_parse(length, width), ROWS), "phrases")
-    texts, span = _texts(rows), _reach(length, width)
+def _repeats(rows: DataFrame, kinds: list[tuple[int, int]]) -> DataFrame:
+    """(uid, lo, hi) of all kinds; places that count words start at ``WORDS_FROM``."""
+    found, todo = _decide(_texts(rows).mapInArrow(_parse(kinds), ROWS), "phrases")
+    texts = _texts(rows)
     for part in (PART, 1):
         grouped = stage(todo.groupBy("uid").agg(F.collect_set(F.struct("lo", "hi", "at")).alias("todo")), f"todo-{part}")
-        parts = texts.join(grouped, "uid").select("uid", "text", "todo").mapInArrow(_cut(length, span, part, width), ROWS)
+        parts = texts.join(grouped, "uid").select("uid", "text", "todo").mapInArrow(_cut(kinds, part), ROWS)
         more, todo = _decide(parts, f"phrases-{part}")
         drop(rows.sparkSession, grouped)
-        found, span = found.unionByName(more), part
+        found = found.unionByName(more)
     return found
 
 
+def repeats(rows: DataFrame, length: int = LENGTH, width: int = 1) -> DataFrame:
+    """(uid, lo, hi): the windows starting at lo..hi of the text of that uid have an equal one elsewhere; ``rows``: uid, text.
+
+    With a ``width`` of ``WORD`` the windows are of ``length`` words, and lo and hi count words.
+    """
+    return _repeats(rows, [(length, width)]).select("uid", *((F.col(c) - _from(width)).alias(c) for c in ("lo", "hi")))
+
+
 def _strip(length: int):
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
 
@@ -249,9 +271,9 @@ def _strip(length: int):
     return run
 
 
-def _spans(rows: DataFrame, length: int, width: int = 1) -> DataFrame:
+def _spans(rows: DataFrame, *kinds: tuple[int, int]) -> DataFrame:
     """(uid, spans) of the texts that lose something, written, so that its size is known to the join that follows."""
-    return stage(repeats(rows, length, width).groupBy("uid").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "spans")
+    return stage(_repeats(rows, list(kinds)).groupBy("uid").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "spans")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -259,7 +281,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     if length < ROLL:
         raise ValueError(f"length must be {ROLL} at least")
     rows = numbered(docs.select("doc_id", "text"))
-    both = rows.select("uid", "doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")).join(_spans(rows, length), "uid", "left")
+    both = rows.select("uid", "doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")).join(_spans(rows, (length, 1)), "uid", "left")
     return both.select("doc_id", "text", "spans").mapInArrow(_strip(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
@@ -268,26 +290,27 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-def _byte_spans(raw: bytes, spans: list[dict], passages: list[dict]) -> list[tuple[int, int]]:
-    """The first byte and the one after the last of each repeat, in order; ``spans`` count bytes, ``passages`` words."""
-    out = [(x["lo"], x["hi"] + STAGE_LENGTH) for x in spans]
-    if passages:
+def _byte_spans(raw: bytes, spans: list[dict]) -> list[tuple[int, int]]:
+    """The first byte and the one after the last of each repeat, in order; places from ``WORDS_FROM`` on count words."""
+    out = [(x["lo"], x["hi"] + STAGE_LENGTH) for x in spans if x["lo"] < WORDS_FROM]
+    if len(out) < len(spans):
         words = [m.span() for m in WORDS.finditer(raw)]
-        out += [(words[x["lo"]][0], words[x["hi"] + PASSAGE - 1][1]) for x in passages]
+        passages = ((x["lo"] - WORDS_FROM, x["hi"] - WORDS_FROM) for x in spans if x["lo"] >= WORDS_FROM)
+        out += [(words[lo][0], words[hi + PASSAGE - 1][1]) for lo, hi in passages]
     return sorted(out)
 
 
-def _strip_text(columns: list[str], spans_name: str, passages_name: str):
+def _strip_text(columns: list[str], spans_name: str):
     """The rows with what is left of their texts; a character that a cut divides goes as a whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = []
-            for text, spans, passages in zip(b["text"], b[spans_name], b[passages_name]):
-                text, spans, passages, end, kept = text.as_py(), spans.as_py() or [], passages.as_py() or [], 0, []
-                if spans or passages:
+            for text, spans in zip(b["text"], b[spans_name]):
+                text, spans, end, kept = text.as_py(), spans.as_py() or [], 0, []
+                if spans:
                     raw = text.encode()
-                    for first, after in _byte_spans(raw, spans, passages):
+                    for first, after in _byte_spans(raw, spans):
                         if first > end:
                             kept.append(raw[end:first].decode(errors="ignore"))
                         end = max(end, after)
@@ -301,13 +324,11 @@ def _strip_text(columns: list[str], spans_name: str, passages_name: str):
 def stage_suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the bytes of repeated strings of ``STAGE_LENGTH`` bytes and without repeated passages of
     ``PASSAGE`` words, whatever their length in bytes and the white space between them; n_chars follows the text."""
-    uid, spans, passages = free_names(docs.columns, "uid", "spans", "passages")
+    uid, spans = free_names(docs.columns, "uid", "spans")
     rows = numbered(docs, uid)
-    out = rows
-    for name, length, width in ((spans, STAGE_LENGTH, 1), (passages, PASSAGE, WORD)):
-        found = _spans(rows.select(F.col(uid).alias("uid"), "text"), length, width)
-        out = out.join(found.select(F.col("uid").alias(uid), F.col("spans").alias(name)), uid, "left")
-    out = out.select(*docs.columns, spans, passages).mapInArrow(_strip_text(docs.columns, spans, passages), docs.schema)
+    found = _spans(rows.select(F.col(uid).alias("uid"), "text"), (STAGE_LENGTH, 1), (PASSAGE, WORD))
+    out = rows.join(found.select(F.col("uid").alias(uid), F.col("spans").alias(spans)), uid, "left")
+    out = out.select(*docs.columns, spans).mapInArrow(_strip_text(docs.columns, spans), docs.schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

@@ -102,3 +102,16 @@ def test_passages_against_every_window_of_words(spark, seed):
     rows = spark.createDataFrame([(n, rng.choice([" ", "\n", " \t"]).join(t)) for n, t in enumerate(texts)], "uid long, text string")
     got = {(r.uid, i) for r in suffix_dedup.repeats(rows, length, suffix_dedup.WORD).collect() for i in range(r.lo, r.hi + 1)}
     assert got == expect and len(got) > 1000
+
+
+def test_stage_writes_each_table_once(spark, documents, monkeypatch):
+    """Bytes and words go through the same tables: each file written is a process that an executor starts."""
+    written, stage = Counter(), suffix_dedup.stage
+    monkeypatch.setattr(suffix_dedup, "stage", lambda df, name: written.update([name]) or stage(df, name))
+    rng = random.Random(6)
+    words = " ".join(rng.randbytes(2).hex() for _ in range(60))
+    run = "".join(rng.choice("abcdefgh") for _ in range(500))
+    texts = [f"one {words} of", f"two\t{words}\tby", f"p{run}q", f"r{run}s"]
+    rows = suffix_dedup.stage_suffix_dedup(spark, documents(list(enumerate(texts))), "").collect()
+    assert {r.doc_id: r.text for r in rows} == {0: "one  of", 1: "two\t\tby", 2: "pq", 3: "rs"}
+    assert set(written.values()) == {1}
