@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import bpe, chat, exact_dedup, packing, pitman_yor, quality_rules, simhash, suffix_dedup, token_counts, warc
+from palimpsest.llm import (
+    bpe, chat, decontamination, exact_dedup, filter_audit, packing, pitman_yor, quality_rules, simhash, spelling_variants, suffix_dedup, token_counts, warc,
+)
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -15,5 +17,15 @@ QUERIES = {
     "op8_warc": warc.op8_warc,
     "op9_chat": chat.op9_chat,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
+    "op11_spelling_variants": spelling_variants.op11_spelling_variants,
+    "op12_decontamination": decontamination.op12_decontamination,
+    "op13_filter_audit": filter_audit.op13_filter_audit,
+}
+SQL = {
+    "op1_exact_dedup": exact_dedup.OP1_SQL,
+    "op2_quality_rules": quality_rules.OP2_SQL,
+    "op9_chat": chat.OP9_SQL,
+    "op11_spelling_variants": spelling_variants.OP11_SQL,
+    "op12_decontamination": decontamination.OP12_SQL,
+    "op13_filter_audit": filter_audit.OP13_SQL,
 }
-SQL = {"op1_exact_dedup": exact_dedup.OP1_SQL, "op2_quality_rules": quality_rules.OP2_SQL, "op9_chat": chat.OP9_SQL}
