@@ -45,6 +45,8 @@ MIN_LENGTH, MIN_COUNT, FACTOR = 7, 2, 10
 DAMAGED = 31
 #: Bigrams of a word that are joined: one edit takes two of them, one is left.
 RAREST = 3
+#: Words whose keys one task makes.
+WORDS_A_TASK = 50_000
 
 
 def damaged(doc_id, run):
@@ -100,7 +102,8 @@ def _keyed(order: dict[str, int]):
 
 def near_pairs(words: DataFrame) -> DataFrame:
     """(a, b, n_a, n_b), a < b: all pairs of the words (word, n) that one inserted, deleted or replaced code point divides."""
-    rows = stage(words.mapInArrow(_keyed(bigram_order(words)), "key long, word string, n long"), "edit-keys")
+    dealt = words.repartition(words.count() // WORDS_A_TASK + 1, "word")
+    rows = stage(dealt.mapInArrow(_keyed(bigram_order(words)), "key long, word string, n long"), "edit-keys")
     a, b = (rows.select("key", F.col("word").alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
     close = (F.col("a") < F.col("b")) & (F.abs(F.length("a") - F.length("b")) <= 1)
     # Keys are hashes: what meets is compared as a whole.

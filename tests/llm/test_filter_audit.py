@@ -1,0 +1,99 @@
+import re
+from collections import Counter
+from itertools import permutations
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from palimpsest.llm.filter_audit import audit, mask_cells, swaps, text_filters, walk
+
+LABELS = "doc_id long, quality int, toxic int"
+
+
+def plain_masks(docs):
+    least = {}
+    for d in docs:
+        t = d["text"] or ""
+        if d["doc_id"] is not None:
+            least[t] = min(least.get(t, d["doc_id"]), d["doc_id"])
+    out = []
+    for d in docs:
+        t, i = d["text"] or "", d["doc_id"]
+        ws = re.findall("[^\x20\x09-\x0d]+", t)
+        failed = [len(ws) < 200, 100 * len(set(ws)) < 50 * len(ws), 100 * len(re.findall("[A-Z]", t)) > 2 * len(t), bool(re.search("[#$%&*|]", t)), i is not None and i > least[t]]
+        out.append((d["source"] or "", {f for f, bad in zip("ABCDE", failed) if bad}, i))
+    return out
+
+
+def plain(docs, labels):
+    """All rows, by applying every order to every document."""
+    good = {x["doc_id"] for x in labels if x["quality"] == 1 and x["doc_id"] is not None}
+    toxic = {x["doc_id"] for x in labels if x["toxic"] == 1 and x["doc_id"] is not None}
+    masks, out, shapley = plain_masks(docs), [], Counter()
+    for part in {m[0] for m in masks}:
+        rows = [m for m in masks if m[0] == part]
+        for order in permutations("ABCDE"):
+            left = rows
+            for step, f in enumerate(order, 1):
+                gone = [m for m in left if f in m[1]]
+                left = [m for m in left if f not in m[1]]
+                shapley[part, f] += len(gone)
+                failing = sum(f in m[1] for m in rows)
+                out.append([part, "".join(order), step, len(left), len(gone), failing - len(gone), sum(m[1] == {f} for m in rows), sum(m[2] in good for m in gone), sum(m[2] in toxic for m in gone)])
+    return {(*r, shapley[r[0], r[1][r[2] - 1]]) for r in out}
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 4, 5, 6])
+def test_swaps_visit_all_orders(n):
+    order = list(range(n))
+    seen = {tuple(order)}
+    for i in swaps(n):
+        order[i], order[i + 1] = order[i + 1], order[i]
+        seen.add(tuple(order))
+    assert seen == set(permutations(range(n)))
+    assert sum(1 for _ in swaps(n)) == len(seen) - 1
+
+
+def test_walk_equals_each_order_by_itself():
+    cells = np.random.default_rng(3).integers(0, 50, (4, 16, 3))
+    n_orders = 0
+    for order, removed in walk(cells, 4):
+        n_orders += 1
+        for i, f in enumerate(order):
+            before = sum(1 << x for x in order[:i])
+            own = [m for m in range(16) if m >> f & 1 and not m & before]
+            assert (removed[:, i] == cells[:, own].sum(axis=1)).all()
+    assert n_orders == 24
+
+
+def result(docs, labels):
+    return audit(mask_cells(docs, labels, text_filters(F.col("text"))), list("ABCDE"))
+
+
+def rows(df):
+    return [r.asDict() for r in df.collect()]
+
+
+def test_whole_table(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    got = [tuple(r) for r in result(docs, labels).collect()]
+    assert len(got) == len(set(got)) == 600 * docs.select("source").distinct().count()
+    assert set(got) == plain(rows(docs), rows(labels))
+
+
+def test_edge_cases(spark, documents):
+    long = " ".join(f"word{i}" for i in range(250))
+    docs = documents([(1, None, None), (2, "", ""), (3, "x", None), (3, "x", None), (4, "x", "s"), (None, "x", "s"), (None, "x", "s"), (5, long, "s"), (6, long, "t"), (7, long + " #", "t"), (8, "AB " * 300, "t"),
+                      (9, "x" * 300000, "u"), (0, "x", "u")] + [(100 + i, long, f"many{i % 70}") for i in range(200)])
+    docs = docs.withColumnRenamed("lang", "mask").withColumnRenamed("n_chars", "n")
+    labels = spark.createDataFrame([(1, 1, 0), (3, None, 1), (3, 1, None), (5, 0, 1), (6, 1, 0), (6, 1, 1), (150, 1, 1), (999, 1, 1), (None, 1, 1)], LABELS)
+    got = result(docs, labels)
+    assert [f.dataType.simpleString() for f in got.schema] == ["string", "string", "int"] + ["bigint"] * 7
+    assert {tuple(r) for r in got.collect()} == plain(rows(docs), rows(labels))
+
+
+def test_empty(spark, documents):
+    assert result(documents([]), spark.createDataFrame([], LABELS)).count() == 0
+    docs = documents([(1, "a", "s")])
+    assert {tuple(r) for r in result(docs, spark.createDataFrame([], LABELS)).collect()} == plain(rows(docs), [])

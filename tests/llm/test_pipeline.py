@@ -1,5 +1,6 @@
 """Each stage of the pipeline against a plain version of it, on what its predecessor kept."""
 
+import re
 from collections import Counter, defaultdict
 
 import pytest
@@ -44,15 +45,23 @@ def simhash(docs):
     return {d["doc_id"]: d["text"] for i, d in enumerate(docs) if tops[i] == i}
 
 
-def suffix(docs, length=400):
+def suffix(docs, length=400, passage=51):
+    """Every byte goes that a string of 400 bytes or a passage of 51 words covers which also starts elsewhere."""
     raw = {d["doc_id"]: d["text"].encode() for d in docs}
+    words = {k: [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", t)] for k, t in raw.items()}
+    own = lambda k, i: tuple(raw[k][a:z] for a, z in words[k][i : i + passage])
     seen = Counter(hash(t[i : i + length]) for t in raw.values() for i in range(len(t) - length + 1))
+    passages = Counter(hash(own(k, i)) for k in raw for i in range(len(words[k]) - passage + 1))
     out = {}
     for k, t in raw.items():
         keep, end, parts = bytearray(b"\1" * len(t)), 0, []
         for i in range(len(t) - length + 1):
             if seen[hash(t[i : i + length])] > 1:
                 keep[i : i + length] = bytes(length)
+        for i in range(len(words[k]) - passage + 1):
+            if passages[hash(own(k, i))] > 1:
+                first, last = words[k][i][0], words[k][i + passage - 1][1]
+                keep[first:last] = bytes(last - first)
         while end < len(t):
             start = keep.find(1, end)
             if start < 0:
@@ -102,6 +111,6 @@ def test_empty_and_odd_documents(spark):
     for _, step in corpus_pipeline.STAGES[:-1]:
         assert step(spark, docs, "").count() == 0
     odd = spark.createDataFrame([(None, None, None, None, None), (1, None, None, None, None), (1, "", "x", None, 0)], docs.schema)
-    for _, step in corpus_pipeline.STAGES[1:-1]:
+    for _, step in corpus_pipeline.STAGES[:-1]:
         assert step(spark, odd, "").columns == COLUMNS
         step(spark, odd, "").collect()
