@@ -28,8 +28,8 @@ class Settings:
     markers: tuple[str, ...] = MARKERS
     shingle_words: int = 8
     permutations: int = 128
-    bands: int = 14
-    rows_per_band: int = 9
+    bands: int = 25
+    rows_per_band: int = 5
     min_overlap_chars: int = 200
     plain_overlap_chars: int = 500
     header_matches: int = 2

@@ -1,6 +1,6 @@
 """State tables: upserts, work queues, pending work, status and report figures.
 
-Every function takes tables and returns the next snapshot; nothing is updated in place.
+Functions on tables return the next snapshot; nothing is updated in place.  Those on logs write the rows that change.
 """
 
 from __future__ import annotations
@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.config import DEFAULTS, Settings
+from palimpsest.functions.minhash import fingerprints
+from palimpsest.sources.keyed_log import KeyedLog
 
 STATUSES = ("pending", "running", "done", "failed")
 SOFT_NOTE = "\n\n[SOFT_REDACTION_RECOVERED]\n"
@@ -177,10 +179,83 @@ def provenance_label(results: DataFrame, provenance: DataFrame) -> DataFrame:
     """Results (group_id, release_batch) with the label of the data set that VOL00008 or alike names."""
     number = F.regexp_extract("release_batch", r"^VOL0*([0-9]+)", 1)
     key = F.when(number != "", number.cast("long"))
-    return results.withColumn("dataset", key).join(F.broadcast(provenance), "dataset", "left")  # one row for each data set
+    return results.withColumn("dataset", key).join(provenance, "dataset", "left")
 
 
 def questionable(segments: DataFrame, settings: Settings = DEFAULTS, times: int = 3) -> DataFrame:
     """Segments with the confidence that their repetition in a group leaves."""
     n = F.count("*").over(Window.partitionBy("group_id", "text"))
     return segments.withColumn("confidence", F.when(n >= times, "questionable").otherwise("high"))
+
+
+# --- logs: a batch writes what changes, and reads what was there before it -----------------------
+
+
+def store_documents(log: KeyedLog, new: DataFrame, batch: int) -> None:
+    """``upsert_documents`` on a log keyed by id: rows of documents that are new, or known and not processed."""
+    flags = ("text_processed", "pdf_processed")
+    old = log.latest(batch).select("id", (F.col(flags[0]) | F.col(flags[1])).alias("frozen"), F.lit(True).alias("known"))
+    rows = old.hint("merge").join(new.drop(*flags), "id", "right").where("known IS NULL OR NOT frozen")
+    log.write(rows.withColumns({f: F.lit(False) for f in flags}), batch)
+
+
+def store_fingerprints(log: KeyedLog, new: DataFrame, batch: int) -> None:
+    """The last fingerprint of a document counts; a row for each document."""
+    log.write(new, batch)
+
+
+def store_merge_results(log: KeyedLog, new: DataFrame, batch: int) -> None:
+    """``upsert_merge_results`` on a log keyed by group_id."""
+    old = log.latest(batch).select("group_id", F.lit(True).alias("known"), *(F.col(c).alias(f"old_{c}") for c in ("recovered_count", "output_generated", "output_path")))
+    rows = old.hint("merge").join(new, "group_id", "right")
+    same = F.col("old_output_generated") & (F.col("old_recovered_count") == F.col("recovered_count"))
+    log.write(
+        rows.select(
+            "group_id", "merged_text", "recovered_count", F.when(F.col("known"), F.col("old_recovered_count")).otherwise(0).cast("bigint").alias("previous_recovered_count"),
+            "total_redacted", F.coalesce(same, F.lit(False)).alias("output_generated"), F.coalesce("output_path", "old_output_path").alias("output_path"),
+        ),
+        batch,
+    )
+
+
+def store_provenance(log: KeyedLog, new: DataFrame, batch: int, at: Column | None = None) -> None:
+    """Entries (dataset, entry: JSON) by data set, with the time of their arrival in them; the last one counts.
+
+    ``at``: that time as text; the present time, if it is not given.
+    """
+    stamp = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX") if at is None else at
+    entry = F.coalesce(F.from_json("entry", "map<string,string>"), F.from_json(F.lit("{}"), "map<string,string>"))
+    stamped = F.map_concat(F.map_filter(entry, lambda k, v: k != "downloaded_at"), F.create_map(F.lit("downloaded_at"), stamp))
+    log.write(new.select(F.col("dataset").cast("bigint").alias("dataset"), F.to_json(stamped).alias("entry")), batch)
+
+
+def provenance_of(log: KeyedLog) -> DataFrame:
+    """(dataset, entry map, downloaded_at) of all data sets."""
+    entry = F.from_json("entry", "map<string,string>")
+    return log.latest().select("dataset", entry.alias("entry"), entry["downloaded_at"].alias("downloaded_at"))
+
+
+def soft_recovered(docs: DataFrame) -> DataFrame:
+    """Documents to whose text something found under its masks was added; whatever its case."""
+    return docs.where(F.lower("extracted_text").contains(SOFT_NOTE.strip().lower()))
+
+
+def backfill_texts(docs: DataFrame, shards: DataFrame, layers: DataFrame, batches: list[str]) -> DataFrame:
+    """The documents, with a text for those that wait for one: from a shard of their batch, else from their pages.
+
+    ``shards`` and ``layers``: (id, extracted_text).  ``text_source`` says where a text came from: backfill, text_layer.
+    Documents that have a text, or belong to none of ``batches``, stay as they are.
+    """
+    waits = no_text(F.col("extracted_text")) & F.col("text_processed") & F.col("text_source").isNull() & F.col("release_batch").isin(*batches)
+    one = lambda rows, name: rows.where(~no_text(F.col("extracted_text"))).groupBy("id").agg(F.min("extracted_text").alias(name))
+    due = docs.where(waits).select("id")
+    found = due.join(one(shards, "shard_text"), "id", "left").join(one(layers, "layer_text"), "id", "left").where("shard_text IS NOT NULL OR layer_text IS NOT NULL")
+    rows = docs.join(found, "id", "left")
+    text = F.when(F.col("shard_text").isNotNull(), F.col("shard_text")).when(F.col("layer_text").isNotNull(), F.col("layer_text")).otherwise(F.col("extracted_text"))
+    source = F.when(F.col("shard_text").isNotNull(), "backfill").when(F.col("layer_text").isNotNull(), "text_layer").otherwise(F.col("text_source"))
+    return rows.withColumn("text_source", source).withColumn("extracted_text", text).select(*docs.columns)
+
+
+def backfill_fingerprints(log: KeyedLog, docs: DataFrame, batch: int, settings: Settings = DEFAULTS) -> None:
+    """New fingerprints of the documents whose text something was added to, and of no others; (id, sig, shingle_count) by id."""
+    store_fingerprints(log, fingerprints(soft_recovered(docs), settings), batch)

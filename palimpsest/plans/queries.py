@@ -64,7 +64,7 @@ HAS = " OR ".join(f"contains(lower(extracted_text), {_quoted(m.lower())})" for m
 # Pairs of representatives of equal texts, one of them with a marker.
 CANDIDATES = f"""{_shingles("rp")}, {HASHES},
 mk AS (SELECT id, {HAS} AS masked FROM rp),
-bd AS (SELECT id, i // 9 AS band, string_agg(CAST(x AS VARCHAR), ',' ORDER BY i) AS key FROM m WHERE i < 126 GROUP BY id, i // 9),
+bd AS (SELECT id, i // {DEFAULTS.rows_per_band} AS band, string_agg(CAST(x AS VARCHAR), ',' ORDER BY i) AS key FROM m WHERE i < {DEFAULTS.bands * DEFAULTS.rows_per_band} GROUP BY id, i // {DEFAULTS.rows_per_band}),
 cand AS (SELECT DISTINCT a.id AS doc_id_a, b.id AS doc_id_b FROM bd a JOIN bd b USING (band, key) JOIN mk x ON x.id = a.id JOIN mk y ON y.id = b.id
          WHERE a.id < b.id AND (x.masked OR y.masked))"""
 

@@ -1,13 +1,17 @@
 import random
+from collections import Counter
+from itertools import combinations
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from palimpsest.config import Settings
 from palimpsest.functions import minhash
-from palimpsest.operators import grouping, similarity
+from palimpsest.operators import capped, grouping, similarity
 from palimpsest.operators.components import connected_components
+from palimpsest.plans import fixtures
 
 
 def longest_runs(a, b, k):
@@ -69,6 +73,25 @@ def test_candidates_and_verification(spark):
     assert similarity.candidate_pairs(docs, grouped=spark.createDataFrame([("0",)], "id string")).count() == 0
 
 
+def test_recall_against_all_pairs(spark):
+    """Versions about as similar as the threshold: of all pairs at 0.70 or more, nine in ten at least are candidates."""
+    docs = fixtures.versions(spark, "/root/testdata/sf0.001", every=97, a=3, b=51).select("id", "extracted_text").cache()
+    own = {}
+    for r in docs.where("extracted_text IS NOT NULL").collect():
+        words = r.extracted_text.replace("[REDACTED]", " ").replace("[b(6)]", " ").lower().split()
+        own[r.id] = {" ".join(words[i : i + 8]) for i in range(len(words) - 7)}
+    holding = {}
+    for i, shingles in own.items():
+        for s in shingles:
+            holding.setdefault(s, []).append(i)
+    common = Counter(tuple(sorted(p)) for ids in holding.values() for p in combinations(ids, 2))
+    similar = {p for p, n in common.items() if n >= 0.7 * (len(own[p[0]]) + len(own[p[1]]) - n)}
+    found = {(r.doc_id_a, r.doc_id_b) for r in similarity.lsh_candidates(minhash.fingerprints(docs)).collect()}
+    near = [n / (len(own[a]) + len(own[b]) - n) for (a, b), n in common.items() if (a, b) in similar]
+    assert len(similar) > 100 and sorted(near)[len(near) // 2] < 0.8
+    assert len(similar & found) >= 0.9 * len(similar)
+
+
 def test_overlap_gates(spark):
     shared = "".join(random.Random(5).choices("abcdefghij ", k=300))
     texts = ["left " + shared, shared + " [REDACTED] right", "more " + shared]
@@ -121,6 +144,43 @@ def test_groups_in_order_and_at_scale(spark):
     assert {r.group_id for r in members.collect()} == {"a"} and cross.count() == 0
 
 
+def by_group(rows):
+    groups = {}
+    for r in rows:
+        groups.setdefault(r.group_id, set()).add(r.doc_id)
+    return groups
+
+
+@pytest.mark.parametrize(("cap", "seed"), [(3, 1), (5, 2), (8, 3), (1000, 4)])
+def test_capped_groups(spark, cap, seed):
+    rng = random.Random(seed)
+    pairs = {(str(rng.randint(0, 150)), str(rng.randint(0, 150))) for _ in range(170)} | {("hub", str(i)) for i in range(40)} | {(f"p{i:02}", f"p{i + 1:02}") for i in range(30)}
+    rows = [*pairs, *[(b, a) for a, b in list(pairs)[:20]], ("x", "x"), (None, "1"), ("1", None)]
+    edges = spark.createDataFrame(rows, "doc_id_a string, doc_id_b string")
+    members, refused = (x.collect() for x in capped.capped_groups(edges, cap))
+    of = {r.doc_id: r.group_id for r in members}
+    groups = by_group(members)
+    assert len(of) == len(members) and all(g == min(ds) and 2 <= len(ds) <= 2 * cap - 2 for g, ds in groups.items())
+    plain = {tuple(sorted(e)) for e in pairs if e[0] != e[1]}
+    across = {(a, b) for a, b in plain if of.get(a, a) != of.get(b, b)}
+    assert {(r.doc_id_a, r.doc_id_b) for r in refused} == across and len(refused) == len(across)
+    # An edge is refused only where a group is full, and a group hangs together by edges of its own.
+    assert all(max(len(groups.get(of.get(x), ())) for x in e) >= cap for e in across)
+    tops = plain_components([e for e in plain if e not in across])
+    assert all(len({tops[d] for d in ds}) == 1 for ds in groups.values())
+    if cap == 1000:
+        in_order = grouping.group_in_order(spark.createDataFrame(sorted(plain), "doc_id_a string, doc_id_b string"), cap).collect()
+        assert not refused and sorted(map(sorted, groups.values())) == sorted(map(sorted, by_group(in_order).values()))
+
+
+def test_capped_groups_take_the_least_edges(spark):
+    star = spark.createDataFrame([("hub", f"leaf{i:03}") for i in range(300)], "doc_id_a string, doc_id_b string")
+    members, refused = capped.capped_groups(star, 20)
+    assert members.count() == 20 and refused.count() == 281
+    none = spark.createDataFrame([], star.schema)
+    assert [x.count() for x in capped.capped_groups(none, 20)] == [0, 0]
+
+
 def test_split_groups(spark):
     rng = random.Random(6)
     texts = []
