@@ -9,7 +9,7 @@ from palimpsest.functions import minhash, payload, text
 from palimpsest.operators import capped, state
 from palimpsest.operators.band_index import BandIndex
 from palimpsest.plans import fixtures as fx
-from palimpsest.plans.queries import CANDIDATES, SQL, VERIFIED, _representatives, _strip, query
+from palimpsest.plans.queries import CANDIDATES, SQL, VERIFIED, _representatives, query
 from palimpsest.sources import scans
 from palimpsest.sources.keyed_log import KeyedLog
 from palimpsest.staging import new_path, stage

@@ -9,7 +9,7 @@ from palimpsest.functions import minhash
 from palimpsest.functions.text import collapse
 from palimpsest.operators import grouping, hierarchy, merge, report, search
 from palimpsest.plans import fixtures as fx
-from palimpsest.plans.queries import AGGREGATED, SEGMENTS_SQL, SIGNATURES, _found, _representatives, query
+from palimpsest.plans.queries import AGGREGATED, SIGNATURES, _found, _representatives, query
 from palimpsest.staging import new_path, stage
 from palimpsest.tables import read
 
@@ -19,17 +19,16 @@ from palimpsest.tables import read
 @query(rf"""WITH {fx.VERSIONS_SQL}, x AS (SELECT doc_id, words, len(list_filter(range(len(words)), lambda i: i % {fx.EVERY} = {fx.PLACE_A})) AS a, len(list_filter(range(len(words)), lambda i: i % {fx.EVERY} = {fx.PLACE_B})) AS b FROM vw WHERE words IS NOT NULL)
 SELECT doc_id, len(words) AS n_words, greatest(a, b) AS total_redacted, b = 0 AND a > 0 AS reverse_merge, 0 AS n_wrong, 0 AS n_miscounted FROM x""")
 def merge_truth(spark, d):
-    """Both versions of each document merged, word by word against the document: no word is wrong, and each recovery fills one mask."""
+    """Both versions of each document merged and held against it: what anchors fill in is a word that was masked, and each recovery takes one mask."""
     versions = stage(fx.versions(spark, d), "truth-versions")
     members = versions.where("extracted_text IS NOT NULL").select(F.col("doc_id").cast("string").alias("group_id"), F.col("id").alias("doc_id"))
     merged = merge.merge_groups(members, versions.select("id", "extracted_text"))
     truth = read(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.split(collapse(F.col("text")), " ").alias("words"))
     rows = truth.join(merged.withColumn("doc_id", F.col("group_id").cast("bigint")), "doc_id").withColumn("own", F.split("merged_text", " "))
-    pairs = F.arrays_zip(F.col("words").alias("w"), F.col("own").alias("o"))
-    masks = ("[REDACTED]", "[b(6)]")
-    wrong = F.size(F.filter(pairs, lambda p: ~p["w"].eqNullSafe(p["o"]) & ~F.coalesce(p["o"].isin(*masks), F.lit(False))))
-    left = F.size(F.filter(pairs, lambda p: p["o"].isin(*masks) & (p["w"] != p["o"])))
-    missing = F.when(F.col("reverse_merge"), F.col("recovered_count")).otherwise(F.col("total_redacted") - F.col("recovered_count") - left)
+    hidden = F.filter("words", lambda w, i: (i % fx.EVERY).isin(fx.PLACE_A, fx.PLACE_B))
+    wrong = F.size(F.filter("recovered_segments", lambda s: (s["stage"] == "merge") & ~F.array_contains(hidden, s["text"])))
+    masks = F.size(F.filter("own", lambda w: w.isin("[REDACTED]", "[b(6)]")))
+    missing = F.when(F.col("reverse_merge"), F.col("recovered_count")).otherwise(F.col("total_redacted") - F.col("recovered_count") - masks)
     return rows.select("doc_id", F.size("words").cast("bigint").alias("n_words"), "total_redacted", "reverse_merge", wrong.alias("n_wrong"), missing.cast("int").alias("n_miscounted"))
 
 
