@@ -76,7 +76,7 @@ def pieces(found: DataFrame, length: int = WINDOW, shingle: int = SHINGLE) -> Da
     distinct = found.drop("item_id").distinct()
     own = [
         F.when(F.col("m") >= i + shingle, F.struct(F.lit(shingle).alias("k"), F.lit(i).alias("off"), _key(shingle, i + 1).alias("key"), _text(shingle, i + 1).alias("shingle")))
-        for i in range(max(length - shingle, 0) + 1)
+        for i in range(length - shingle + 1)
     ]
     own += [F.when(F.col("m") == k, F.struct(F.lit(k).alias("k"), F.lit(0).alias("off"), _key(k).alias("key"), _text(k).alias("shingle"))) for k in range(1, min(shingle, length + 1))]
     return distinct.select("window", "m", F.explode(F.array(*own)).alias("p")).where("p IS NOT NULL").select("window", "m", "p.*")
