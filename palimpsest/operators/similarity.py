@@ -177,32 +177,43 @@ def verified_copies(docs: DataFrame, classes: DataFrame, settings: Settings = DE
     return copies.join(long, "doc_id_a").select("doc_id_a", "doc_id_b", (F.col("common_len") / F.col("longest")).alias("similarity"), "common_len")
 
 
-def header_values(emails: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """Distinct (id, value) of header values, lower case, that are not too frequent; whatever the header."""
+def header_entries(emails: DataFrame) -> DataFrame:
+    """(id, value) of all header values, lower case; whatever the header, and as often as they are there."""
     found = emails.where(looks_like_email(F.col("extracted_text"))).select("id", F.explode(email_headers(F.col("extracted_text"))).alias("value"))
-    found = stage(found.select("id", F.lower("value").alias("value")).where("value != ''"), "headers")
-    often = found.groupBy("value").count().where(F.col("count") > settings.header_limit).select("value")
+    return found.select("id", F.lower("value").alias("value")).where("value != ''")
+
+
+def header_values(emails: DataFrame, settings: Settings = DEFAULTS, often: DataFrame | None = None) -> DataFrame:
+    """Distinct (id, value) of header values that are not too frequent, or not among those (value) that are said to be."""
+    found = stage(header_entries(emails), "headers")
+    if often is None:
+        often = found.groupBy("value").count().where(F.col("count") > settings.header_limit).select("value")
     return found.join(often, "value", "left_anti").select("id", "value").distinct()
 
 
-def header_buckets(emails: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """(combo, id): each combination of ``header_matches`` values of a document, where another document has it too."""
-    values = header_values(emails, settings).groupBy("id").agg(F.array_sort(F.collect_set("value")).alias("values"))
+def value_combos(values: DataFrame, matches: int) -> DataFrame:
+    """(combo, id): each combination of so many values of a document, of distinct (id, value)."""
+    own = values.groupBy("id").agg(F.array_sort(F.collect_set("value")).alias("values"))
     # Combinations grow by one value at a time, always a later one.
-    combos = values.select("id", "values", F.explode(F.sequence(F.lit(1), F.size("values"))).alias("last")).select(
+    combos = own.select("id", "values", F.explode(F.sequence(F.lit(1), F.size("values"))).alias("last")).select(
         "id", "values", "last", F.array(F.element_at("values", F.col("last"))).alias("combo")
     )
-    for _ in range(settings.header_matches - 1):
+    for _ in range(matches - 1):
         more = combos.where(F.col("last") < F.size("values")).select("id", "values", "combo", F.explode(F.sequence(F.col("last") + 1, F.size("values"))).alias("last"))
         combos = more.select("id", "values", "last", F.concat("combo", F.array(F.element_at("values", F.col("last")))).alias("combo"))
-    combos = stage(combos.select("combo", "id"), "combos")
+    return combos.select("combo", "id")
+
+
+def header_buckets(emails: DataFrame, settings: Settings = DEFAULTS, often: DataFrame | None = None) -> DataFrame:
+    """(combo, id): each combination of ``header_matches`` values of a document, where another document has it too."""
+    combos = stage(value_combos(header_values(emails, settings, often), settings.header_matches), "combos")
     shared = combos.groupBy("combo").agg(F.count("*").alias("n")).where("n > 1").select("combo")
     return combos.join(shared, "combo", "left_semi")
 
 
-def header_edges(emails: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+def header_edges(emails: DataFrame, settings: Settings = DEFAULTS, often: DataFrame | None = None) -> DataFrame:
     """(doc_id_a, doc_id_b, similarity): the first document of each bucket with each other one."""
-    found = header_buckets(emails, settings)
+    found = header_buckets(emails, settings, often)
     first = found.groupBy("combo").agg(F.min("id").alias("doc_id_a"))
     pairs = found.join(first, "combo").where("id != doc_id_a").select("doc_id_a", F.col("id").alias("doc_id_b")).distinct()
     return pairs.withColumn("similarity", F.lit(1.0))

@@ -124,7 +124,7 @@ def _incremental(spark, d, n: int = 3) -> Reconciler:
     docs = fx.versions(spark, d).select("id", F.lit("b").alias("release_batch"), F.length("extracted_text").cast("bigint").alias("size_bytes"), "extracted_text", "doc_id")
     docs, own = stage(docs, "incremental-documents"), Reconciler(spark, new_path(spark, "incremental"))
     for batch in range(n):
-        own.ingest(docs.where((F.col("doc_id") % n == batch) | (F.col("doc_id") % (5 * n) == 0)), batch)
+        own.link(docs.where((F.col("doc_id") % n == batch) | (F.col("doc_id") % (5 * n) == 0)), batch)
     return own
 
 

@@ -12,7 +12,7 @@ from palimpsest.sources import scans
 from palimpsest.streaming.ingest import Reconciler
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"shingles", "jaccard_exact", "components"}
+SLOW = {"shingles", "jaccard_exact", "components", "capped_account", "clusters_at_thresholds", "combined_search", "incremental_labels", "searches"}
 
 
 @pytest.fixture(scope="module")
