@@ -5,7 +5,8 @@
 Rows are (source, batch, doc, content); each becomes ``{root}/{source}/{batch}/{doc}_merged.json``.
 Tasks write below a folder of the job's own, each attempt in its own place.  Once all
 have ended, the files of the attempts that count are moved to where they belong; if one
-fails, the folder goes and nothing else has been touched.  A file that is there already is
+fails, the folder goes and nothing else has been touched; an object store may keep what a
+task writes there after that.  A file that is there already is
 replaced.  Moving is the driver's work, a file a time, as with Spark's own files.
 
 The folder is reached through ``pyarrow.fs``, so any file system that it knows will do.
@@ -36,7 +37,7 @@ def safe(name: str | None) -> str:
 
 @dataclass
 class Written(WriterCommitMessage):
-    """The files of a task's attempt: their names below its folder."""
+    """The files of a task's attempt, numbered in its folder: the name that each gets."""
 
     folder: str
     names: list[str]
@@ -47,23 +48,23 @@ class OutputWriter(DataSourceWriter):
         self.files, root = fs.FileSystem.from_uri(re.sub(r"^file:/+", "/", path))
         self.root = root.rstrip("/")
         self.job = f"{self.root}/{STAGING}-{uuid.uuid4().hex}"
+        self.files.create_dir(self.job, recursive=True)
 
     def write(self, rows: Iterator[Row]) -> Written:
         folder, names = f"{self.job}/{uuid.uuid4().hex}", []
+        # Not with its parents: a task that is still at work when the job is aborted finds no folder to write to.
+        self.files.create_dir(folder, recursive=False)
         for row in rows:
-            name = f"{safe(row.source)}/{safe(row.batch)}/{safe(row.doc)}_merged.json"
-            place, _, _ = f"{folder}/{name}".rpartition("/")
-            self.files.create_dir(place, recursive=True)
-            with self.files.open_output_stream(f"{folder}/{name}") as out:
+            with self.files.open_output_stream(f"{folder}/{len(names)}") as out:
                 out.write((row.content or "").encode())
-            names.append(name)
+            names.append(f"{safe(row.source)}/{safe(row.batch)}/{safe(row.doc)}_merged.json")
         return Written(folder, names)
 
     def commit(self, messages: list[Written | None]) -> None:
         for m in messages:
-            for name in m.names if m else ():
+            for i, name in enumerate(m.names if m else ()):
                 self.files.create_dir(f"{self.root}/{name}".rpartition("/")[0], recursive=True)
-                self.files.move(f"{m.folder}/{name}", f"{self.root}/{name}")
+                self.files.move(f"{m.folder}/{i}", f"{self.root}/{name}")
         self._clear()
 
     def abort(self, messages: list[Written | None]) -> None:
