@@ -20,16 +20,19 @@ from palimpsest.tables import read
 SELECT doc_id, len(words) AS n_words, greatest(a, b) AS total_redacted, b = 0 AND a > 0 AS reverse_merge, 0 AS n_wrong, 0 AS n_miscounted FROM x""")
 def merge_truth(spark, d):
     """Both versions of each document merged and held against it: what anchors fill in is a word that was masked, and each recovery takes one mask."""
-    versions = stage(fx.versions(spark, d), "truth-versions")
-    members = versions.where("extracted_text IS NOT NULL").select(F.col("doc_id").cast("string").alias("group_id"), F.col("id").alias("doc_id"))
-    merged = merge.merge_groups(members, versions.select("id", "extracted_text"))
-    truth = read(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.split(collapse(F.col("text")), " ").alias("words"))
-    rows = truth.join(merged.withColumn("doc_id", F.col("group_id").cast("bigint")), "doc_id").withColumn("own", F.split("merged_text", " "))
-    hidden = F.filter("words", lambda w, i: (i % fx.EVERY).isin(fx.PLACE_A, fx.PLACE_B))
-    wrong = F.size(F.filter("recovered_segments", lambda s: (s["stage"] == "merge") & ~F.array_contains(hidden, s["text"])))
-    masks = F.size(F.filter("own", lambda w: w.isin("[REDACTED]", "[b(6)]")))
-    missing = F.when(F.col("reverse_merge"), F.col("recovered_count")).otherwise(F.col("total_redacted") - F.col("recovered_count") - masks)
-    return rows.select("doc_id", F.size("words").cast("bigint").alias("n_words"), "total_redacted", "reverse_merge", wrong.alias("n_wrong"), missing.cast("int").alias("n_miscounted"))
+    docs, k = read(spark, d, "documents").where("text IS NOT NULL"), F.col("doc_id")
+    members = docs.select(k.cast("string").alias("group_id"), F.explode(F.array((k * 2).cast("string"), (k * 2 + 1).cast("string"))).alias("doc_id"))
+    merged = merge.merge_groups(members, fx.versions(spark, d).select("id", "extracted_text"))
+    # Before they meet, texts are reduced to what was hidden in them, and results to what was filled in and is masked still.
+    words = F.split(collapse(F.col("text")), " ")
+    hidden = F.filter(words, lambda w, i: (i % fx.EVERY).isin(fx.PLACE_A, fx.PLACE_B))
+    truth = docs.select("doc_id", F.size(words).cast("bigint").alias("n_words"), hidden.alias("hidden"))
+    masks = F.size(F.filter(F.split("merged_text", " "), lambda w: w.isin("[REDACTED]", "[b(6)]")))
+    filled = F.transform(F.filter("recovered_segments", lambda s: s["stage"] == "merge"), lambda s: s["text"])
+    found = merged.select(F.col("group_id").cast("bigint").alias("doc_id"), "total_redacted", "recovered_count", "reverse_merge", masks.alias("masks"), filled.alias("filled"))
+    missing = F.when(F.col("reverse_merge"), F.col("recovered_count")).otherwise(F.col("total_redacted") - F.col("recovered_count") - F.col("masks"))
+    wrong = F.size(F.filter("filled", lambda x: ~F.array_contains("hidden", x)))
+    return truth.join(found, "doc_id").select("doc_id", "n_words", "total_redacted", "reverse_merge", wrong.alias("n_wrong"), missing.cast("int").alias("n_miscounted"))
 
 
 # --- clusters ----------------------------------------------------------------------------------
