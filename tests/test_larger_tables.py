@@ -1,7 +1,13 @@
 """What only tables larger than the generated ones show."""
 
+import random
+from difflib import SequenceMatcher
+
 import duckdb
+import pytest
 
+from palimpsest.config import MARKERS
+from palimpsest.operators import merge
 from palimpsest.plans import queries
 
 
@@ -11,3 +17,59 @@ def test_ordered_lookup_of_an_id_that_only_large_tables_have(spark, tmp_path):
     expect = duckdb.sql(queries.SQL["ordered_lookup"].replace("JOIN documents", f"JOIN '{tmp_path}/documents.parquet/*.parquet'")).fetchall()
     got = [(r.pos, r.id) for r in queries.QUERIES["ordered_lookup"](spark, str(tmp_path)).collect()]
     assert sorted(got) == sorted(expect) and (2, "100000") in got
+
+
+def changed(rng, items, alphabet, times):
+    out = list(items)
+    for _ in range(times):
+        at = rng.randrange(len(out) + 1)
+        out[at : at + rng.randrange(5)] = rng.choices(alphabet, k=rng.randrange(6))
+    return out
+
+
+@pytest.mark.parametrize("kinds", [2, 4, 20, 60])
+@pytest.mark.parametrize("step", [3, 1 << 20])
+def test_replaced_stretches_are_those_of_difflib(monkeypatch, kinds, step):
+    rng, alphabet, whole = random.Random(kinds), [chr(97 + k) for k in range(kinds)], merge._diagonals
+    monkeypatch.setattr(merge, "_diagonals", lambda a, b: whole(a, b, step))
+    for n in [0, 1, 5, 40, 199, 200, 260] * 6:
+        a = rng.choices(alphabet, k=n)
+        b = changed(rng, a, alphabet, rng.randrange(9))
+        if rng.random() < 0.3:
+            b = b[n // 3 :] + b[: n // 3]
+        for x, y in ((a, b), ("".join(a), "".join(b))):
+            expect = [tuple(op[1:]) for op in SequenceMatcher(None, x, y).get_opcodes() if op[0] == "replace"]
+            assert merge._replaced(x, y) == expect
+
+
+def test_alignment_leaves_out_only_what_would_not_be_confirmed():
+    rng, words = random.Random(3), [f"word{chr(97 + k)}{chr(97 + k % 7)}" for k in range(24)]
+    confirmed = 0
+    for _ in range(150):
+        base = rng.choices(words, k=40)
+        donor = changed(rng, base, words, 3)
+        masked = " ".join("[REDACTED]" if rng.random() < 0.1 else w for w in base).replace(" worda", "\n# **worda")
+        text, other = masked, merge.Donor("d", " ".join(donor).replace(" wordb", "\n- wordb"))
+        marks = merge.positions(text, MARKERS)
+        wanted = merge.confirmable(text, marks, other, MARKERS)
+        for start, (candidate, at) in merge.aligned(text, other.text, marks, MARKERS).items():
+            if merge.confirmed(candidate, other.text, at, text, start, start + len("[REDACTED]"), MARKERS):
+                confirmed += 1
+                assert start in wanted
+    assert confirmed > 20
+
+
+def test_donors_are_aligned_only_where_that_can_fill_something(monkeypatch):
+    calls, plain = [], merge.aligned
+    monkeypatch.setattr(merge, "aligned", lambda *args: calls.append(args) or plain(*args))
+    lead, tail = "the committee met at noon and heard", "about the budget of the coming year"
+    base = ("b", f"{lead} [REDACTED] {tail} before all went home")
+    others = [(f"d{k}", f"an unrelated report number {k} on roads and bridges") for k in range(20)]
+    merge.merge_texts([base, *others])
+    assert not calls
+    # A word too short to be filled in: its donor is aligned in the first pass, and not again as long as the text is the same.
+    twin = ("t", f"{lead} of {tail} before all went home [REDACTED]")
+    second = ("u", "what stands in front of it was Alexandra Petrova who spoke at length of rivers [REDACTED]")
+    base = ("b", f"{base[1]}. what stands in front of it was [REDACTED] who spoke at length of rivers and [REDACTED]")
+    got = merge.merge_texts([base, twin, second])
+    assert got.recovered == 1 and len([c for c in calls if c[1] == twin[1]]) == 1
