@@ -4,9 +4,12 @@ import random
 from difflib import SequenceMatcher
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from palimpsest.config import MARKERS
+from palimpsest.functions import minhash
 from palimpsest.operators import merge
 from palimpsest.plans import queries
 
@@ -73,3 +76,13 @@ def test_donors_are_aligned_only_where_that_can_fill_something(monkeypatch):
     base = ("b", f"{base[1]}. what stands in front of it was [REDACTED] who spoke at length of rivers and [REDACTED]")
     got = merge.merge_texts([base, twin, second])
     assert got.recovered == 1 and len([c for c in calls if c[1] == twin[1]]) == 1
+
+
+def test_fingerprints_hold_few_texts_of_a_batch_at_once():
+    a, b = (np.array(x) for x in zip(*minhash.permutations(8)))
+    texts = [" ".join(f"w{k}x{i}" for i in range(k % 12)) for k in range(1000)]
+    batch = pa.RecordBatch.from_pydict({"id": [str(k) for k in range(1000)], "clean": texts})
+    got = list(minhash.signed(iter([batch]), 8, a, b))
+    assert len(got) > 1 and max(x.num_rows for x in got) <= minhash.AT_ONCE
+    expect = {str(k): s for k, t in enumerate(texts) if (s := minhash.signature(t.split(), 8, a, b))}
+    assert {r["id"]: (r["sig"], r["shingle_count"]) for x in got for r in x.to_pylist()} == expect
