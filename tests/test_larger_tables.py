@@ -8,9 +8,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from palimpsest.config import MARKERS
+from palimpsest.config import MARKERS, Settings
 from palimpsest.functions import minhash
-from palimpsest.operators import merge
+from palimpsest.operators import grouping, merge
 from palimpsest.plans import queries
 
 
@@ -86,3 +86,23 @@ def test_fingerprints_hold_few_texts_of_a_batch_at_once():
     assert len(got) > 1 and max(x.num_rows for x in got) <= minhash.AT_ONCE
     expect = {str(k): s for k, t in enumerate(texts) if (s := minhash.signature(t.split(), 8, a, b))}
     assert {r["id"]: (r["sig"], r["shingle_count"]) for x in got for r in x.to_pylist()} == expect
+
+
+def test_fingerprints_do_not_travel_by_group(spark, monkeypatch):
+    plans, write = [], grouping.stage
+
+    def kept(df, name):
+        if "sig" in df.columns:
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(grouping, "stage", kept)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        members = spark.createDataFrame([(str(k), "g") for k in range(6)] + [("8", "h")], "doc_id string, group_id string")
+        prints = spark.createDataFrame([(str(k), [k // 3 * 1000 + i for i in range(128)]) for k in range(5)], "id string, sig array<long>")
+        got = {(r.doc_id, r.group_id) for r in grouping.split_groups(members, prints, Settings(split_above=2)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == {("0", "0"), ("1", "0"), ("2", "0"), ("3", "3"), ("4", "3"), ("8", "h")}
+    assert plans and not any("hashpartitioning(group_id" in p for p in plans)
