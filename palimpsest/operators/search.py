@@ -26,6 +26,17 @@ def trigrams(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(f"(?s)(?=({'.' * GRAM}))"), F.lit(1)))
 
 
+#: Documents whose postings make one bucket; a bucket is sorted by one task.
+BUCKET_DOCS = 2_000
+#: With more partitions Spark sorts rows before it shuffles them, which took more memory (403 MB a task with 250 buckets on sf0.1) than it saved.
+MOST_BUCKETS = 200
+
+
+def buckets_for(docs: DataFrame) -> int:
+    """So many buckets that one holds no more postings as documents become more, up to the most that need no sort."""
+    return max(64, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_BUCKETS, -(-docs.count() // BUCKET_DOCS)))
+
+
 class TextIndex:
     """Postings (gram, id) of all documents, and how many documents hold each trigram."""
 
