@@ -19,10 +19,11 @@ Nothing but digests, positions and the edges' texts is shuffled, and the
 number of rows is in proportion to the bytes.  Strings are compared by two
 64-bit digests together (128 bits).
 
-The pipeline's stage takes out passages of ``PASSAGE`` words, too, which are often shorter
-than its bytes.  A text's words then stand for its bytes, each by a 64-bit digest, and
-lengths, starts and triggers count words; all else is the same.  Both kinds go through the
-same tables, the places of words from ``WORDS_FROM`` on.
+Passages of ``PASSAGE`` words are often shorter than ``length`` bytes.  The pipeline's stage
+takes them out, too; ``remove_repeats`` removes bytes alone and counts them beside that.
+A text's words then stand for its bytes, each by a 64-bit digest, and lengths, starts and
+triggers count words; all else is the same.  Both kinds go through the same tables, the
+places of words from ``WORDS_FROM`` on.
 
 Defined cases: a null text counts as empty; texts shorter than ``length`` lose
 nothing; all copies of a repeated string go, the first included; rows that
@@ -60,6 +61,8 @@ REACH, ROLL = 256, 8
 PART = 16
 #: Window starts handled at once, and bytes of short texts handled together.
 BLOCK, TOGETHER = 1 << 20, 1 << 21
+#: Parts given back at once, or those of one text.
+ROWS_TOGETHER = 1 << 16
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 LOW = np.uint64(21)  # bits for a place within a block
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -172,25 +175,27 @@ def _cut(kinds: list[tuple[int, int]], part: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            parts, n = [], 0
             for uid, raw, todo in zip(b["uid"].to_pylist(), b["text"], b["todo"]):
                 raw, todo = raw.as_py(), todo.values
                 every = np.stack([todo.field(c).to_numpy() for c in ("lo", "hi", "at")], axis=1)
-                parts = []
                 for length, width in kinds:
                     rows = every[(every[:, 0] >= WORDS_FROM) == (width == WORD)] - _from(width)
                     if not len(rows):
                         continue
                     text = word_digests(raw) if width == WORD else raw
                     # The first cut is of whole phrases, the second of parts.
-                    span = _reach(length, width) if part == PART else PART
-                    for k in range(-(-span // part)):
-                        at = rows[:, 2] - k * part
-                        lo, hi = np.maximum(rows[:, 0], at - part + 1), np.minimum(rows[:, 1], at)
-                        ok = lo <= hi
-                        if ok.any():
-                            lo, hi, at = lo[ok], hi[ok], at[ok]
-                            places = (x + _from(width) for x in (lo, hi, at))
-                            parts.append((np.full(len(lo), uid), *places, *digests(text, lo, hi, at, part, length, width)))
+                    at = rows[:, 2:] - np.arange(0, _reach(length, width) if part == PART else PART, part)
+                    lo, hi = np.maximum(rows[:, :1], at - part + 1), np.minimum(rows[:, 1:2], at)
+                    ok = lo <= hi
+                    lo, hi, at = lo[ok], hi[ok], at[ok]
+                    places = (x + _from(width) for x in (lo, hi, at))
+                    parts.append((np.full(len(lo), uid), *places, *digests(text, lo, hi, at, part, length, width)))
+                    n += len(lo)
+                    if n >= ROWS_TOGETHER:
+                        yield _out(parts)
+                        parts, n = [], 0
+            if parts:
                 yield _out(parts)
 
     return run
@@ -209,20 +214,21 @@ def _decide(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     """(uid, lo, hi) of phrases that repeat entirely, and (uid, lo, hi, at) of what has to be looked at more closely.
 
     Very many phrases can share a digest: those of periodic text, the ends of a passage in most texts.  So rows are
-    counted before they are dealt, first by both digests and then by one; what the counts say is joined to the rows
-    from written tables, so that a digest with many rows is split among tasks.  Of copies one stands for all among
-    the phrases that are like them without being equal.
+    counted before they are dealt, first by what their windows share, then those that are not alone by both digests; what
+    the counts say is joined to the rows from written tables, so that a digest with many rows is split among tasks.  Of
+    copies one stands for all among the phrases that are like them without being equal: that with the least hash of its place.
     """
+    place = F.xxhash64("uid", "lo")
     rows = stage(rows, f"{name}-rows")
-    kinds = stage(rows.groupBy("shared", "full").agg(F.count("*").alias("copies"), F.min(F.struct("uid", "lo")).alias("first")), f"{name}-kinds")
-    mixed = stage(kinds.groupBy("shared").agg(F.count("*").alias("kinds"), F.sum("copies").alias("n")).where("n > 1"), f"{name}-mixed")
-    known = kinds.join(mixed, "shared").select("shared", "full", (F.col("copies") > 1).alias("repeats"), F.expr("kinds > 1").alias("mixed"), "first")
-    known = stage(known.where("repeats OR mixed"), f"{name}-known")
-    found = rows.join(known, ["shared", "full"]).select(
-        "uid", "lo", "hi", "at", "repeats", F.expr("mixed AND first.uid = uid AND first.lo = lo").alias("open")
-    )
+    many = stage(rows.groupBy("shared").count().where("count > 1"), f"{name}-many")
+    alike = stage(rows.join(many, "shared", "left_semi").select(*NAMES), f"{name}-alike")
+    kinds = stage(alike.groupBy("shared", "full").agg(F.count("*").alias("copies"), F.min(place).alias("first")), f"{name}-kinds")
+    mixed = stage(kinds.groupBy("shared").agg(F.count("*").alias("n")).where("n > 1"), f"{name}-mixed")
+    known = kinds.join(mixed, "shared", "left").select("shared", "full", F.expr("copies > 1").alias("repeats"), F.expr("n IS NOT NULL").alias("mixed"), "first")
+    known = stage(known, f"{name}-known")
+    found = alike.join(known, ["shared", "full"]).select("uid", "lo", "hi", "at", "repeats", (F.col("mixed") & (F.col("first") == place)).alias("open"))
     found = stage(found.where("repeats OR open"), name)
-    drop(rows.sparkSession, rows, kinds, mixed, known)
+    drop(rows.sparkSession, rows, many, alike, kinds, mixed, known)
     return found.where("repeats").select("uid", "lo", "hi"), found.where("open").select("uid", "lo", "hi", "at")
 
 
@@ -247,26 +253,35 @@ def repeats(rows: DataFrame, length: int = LENGTH, width: int = 1) -> DataFrame:
     return _repeats(rows, [(length, width)]).select("uid", *((F.col(c) - _from(width)).alias(c) for c in ("lo", "hi")))
 
 
-def _strip(length: int):
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+def _runs(lo: np.ndarray, hi: np.ndarray, length: int) -> list[tuple[int, int]]:
+    """The first place and the one after the last of each run that the windows of ``length`` starting at lo..hi cover; runs that touch are one."""
+    if not len(lo):
+        return []
+    order = np.argsort(lo)
+    first, after = lo[order], np.maximum.accumulate(hi[order] + length)
+    new = first[1:] > after[:-1]
+    return list(zip(first[np.concatenate([[True], new])].tolist(), after[np.concatenate([new, [True]])].tolist()))
+
+
+def _strip(length: int, passage: int):
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "n_passages", "n_passage_words"]
+    types = [pa.int64()] * 4 + [pa.string(), pa.binary()] + [pa.int64()] * 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for doc_id, text, spans in zip(b["doc_id"].to_pylist(), b["text"], b["spans"]):
-                text, spans, at, kept, n_spans = text.as_py(), spans.as_py(), 0, [], 0
-                end = -1
-                for x in sorted(spans or [], key=lambda x: x["lo"]):
-                    if x["lo"] > end:  # spans that touch are one
-                        kept.append(text[max(end, 0) : x["lo"]])
-                        n_spans += 1
-                    end = max(end, x["hi"] + length)
-                kept.append(text[max(end, 0) :])
-                kept = b"".join(kept)
-                rows.append((doc_id, len(text), len(text) - len(kept), n_spans, hashlib.sha256(kept).hexdigest(), kept))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x, t) for x, t in zip(zip(*rows) if rows else [()] * 6, [pa.int64()] * 4 + [pa.string(), pa.binary()])], names
-            )
+                text, cuts, passages, end, kept = text.as_py(), [], [], 0, []
+                if spans.is_valid:
+                    lo, hi = (spans.values.field(c).to_numpy() for c in ("lo", "hi"))
+                    words = lo >= WORDS_FROM
+                    cuts, passages = _runs(lo[~words], hi[~words], length), _runs(lo[words], hi[words], passage)
+                for first, after in cuts:
+                    kept.append(text[end:first])
+                    end = after
+                kept = b"".join([*kept, text[end:]])
+                rows.append((doc_id, len(text), len(text) - len(kept), len(cuts), hashlib.sha256(kept).hexdigest(), kept, len(passages), sum(j - i for i, j in passages)))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [()] * len(names), types)], names)
 
     return run
 
@@ -276,18 +291,28 @@ def _spans(rows: DataFrame, *kinds: tuple[int, int]) -> DataFrame:
     return stage(_repeats(rows, list(kinds)).groupBy("uid").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "spans")
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) for each row; kept: the remaining bytes."""
+def remove_repeats(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept, n_passages, n_passage_words) for each row; kept: the remaining bytes.
+
+    The last two count what stays unless it is removed as bytes: the words of a text that lie in ``passage`` words in a row
+    which start anywhere else, too, whatever the white space between them, and the maximal runs of such words.
+    """
     if length < ROLL:
         raise ValueError(f"length must be {ROLL} at least")
+    if passage < 1:
+        raise ValueError("passage must be 1 at least")
     rows = numbered(docs.select("doc_id", "text"))
-    both = rows.select("uid", "doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")).join(_spans(rows, (length, 1)), "uid", "left")
-    return both.select("doc_id", "text", "spans").mapInArrow(_strip(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    spans = _spans(rows, (length, 1), (passage, WORD))
+    both = rows.select("uid", "doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")).join(spans, "uid", "left")
+    return both.select("doc_id", "text", "spans").mapInArrow(
+        _strip(length, passage),
+        "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, n_passages long, n_passage_words long",
+    )
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", "n_passage_words")
 
 
 def _byte_spans(raw: bytes, spans: list[dict]) -> list[tuple[int, int]]:

@@ -115,3 +115,54 @@ def test_stage_writes_each_table_once(spark, documents, monkeypatch):
     rows = suffix_dedup.stage_suffix_dedup(spark, documents(list(enumerate(texts))), "").collect()
     assert {r.doc_id: r.text for r in rows} == {0: "one  of", 1: "two\t\tby", 2: "pq", 3: "rs"}
     assert set(written.values()) == {1}
+
+
+def plain_passages(texts, length=suffix_dedup.PASSAGE):
+    """(n_passages, n_passage_words) of each text, by counting every window of words."""
+    texts = [t.encode().split() for t in texts]
+    seen = Counter(tuple(t[i : i + length]) for t in texts for i in range(len(t) - length + 1))
+    out = []
+    for t in texts:
+        hit = bytearray(len(t))
+        for i in range(len(t) - length + 1):
+            if seen[tuple(t[i : i + length])] > 1:
+                hit[i : i + length] = b"\1" * length
+        out.append((sum(h and not (i and hit[i - 1]) for i, h in enumerate(hit)), sum(hit)))
+    return out
+
+
+def test_query_counts_passages_of_over_50_words_that_stay(spark, documents, tmp_path):
+    """Passages too short for 400 bytes are told apart from what occurs once, and none of their bytes go."""
+    rng = random.Random(7)
+    words = lambda n: [rng.randbytes(3).hex()[:5] for _ in range(n)]
+    own = [words(rng.randint(60, 120)) for _ in range(60)]
+    texts = [" ".join(o) for o in own]
+    planted = {}
+    for k in range(10):
+        passage = words(rng.randint(51, 60))
+        assert len(" ".join(passage)) < 400
+        for i in (2 * k, 2 * k + 1):
+            at, planted[i] = rng.randint(0, len(own[i])), len(passage)
+            texts[i] = " ".join(own[i][:at] + ["\n".join(passage) if i % 2 else " ".join(passage)] + own[i][at:])
+    # A passage of 50 words stays uncounted; one twice in a text counts both times; null and empty have none.
+    fifty, twice = " ".join(words(50)), " ".join(words(51))
+    texts += [f"{fifty} a", f"{fifty} b", f"c {twice} d {twice} e", None, ""]
+    documents(list(enumerate(texts))).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r.doc_id: r for r in suffix_dedup.op10_suffix_dedup(spark, str(tmp_path)).collect()}
+    expect = {i: (1, n) for i, n in planted.items()} | {62: (2, 102)}
+    assert {i: (r.n_passages, r.n_passage_words) for i, r in rows.items()} == {i: expect.get(i, (0, 0)) for i in range(len(texts))}
+    # By the contract's 400 bytes nothing is removed here.
+    assert [tuple(rows[i])[1:5] for i in range(len(texts))] == plain([(t or "").encode() for t in texts], 400)
+    assert not any(r.n_removed for r in rows.values())
+
+
+@pytest.mark.parametrize("seed", [8, 9])
+def test_passages_and_bytes_in_one_run(spark, documents, seed):
+    rng = random.Random(seed)
+    texts = corpus(rng, 25, 400)
+    parts = [rng.choices("abcdefgh", k=rng.randint(30, 200)) for _ in range(4)]
+    texts += ["\u00e9 " + rng.choice([" ", "\n"]).join(rng.choice(parts) + rng.choices("xyz", k=rng.randint(0, 9)) + rng.choice(parts)) for _ in range(15)]
+    got = {r.doc_id: tuple(r) for r in suffix_dedup.remove_repeats(documents(list(enumerate(texts)))).collect()}
+    assert [got[i][1:5] for i in range(len(texts))] == plain([t.encode() for t in texts], 400)
+    expect = plain_passages(texts)
+    assert [got[i][6:] for i in range(len(texts))] == expect and sum(n for _, n in expect) > 500
